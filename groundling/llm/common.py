@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,83 +51,117 @@ class MemoTokenizer:
     A chunk ends where the tokenizer's own pre-tokenizer always cuts, so ids of chunks joined are the ids of the text:
 
     * ``space_prefix`` (byte-level BPE): a single U+0020 between two characters that are not white space starts a new
-      pre-token, and a single \\n between such characters is one.  Other white space stays inside one chunk.
+      pre-token, and a single \\n between such characters is one.  Keys are words after a space as they stand, words
+      after a line's end with that \\n before them, the first word with \\0.  A text with other white space is encoded whole.
     * ``space_dropped`` (word BPE): white space only separates; normalisation does not reach across it.
 
-    Chunks not in the memo are encoded in one call, parted by a character that is a pre-token of its own there.
-    In the texts the strings of special tokens are ordinary text.  Ids are kept as little-endian unsigned 16-bit where
-    the vocabulary allows, else 32-bit.
+    Letters followed by ASCII signs are two pre-tokens, remembered apart, which makes new words rarer.  New words are
+    encoded in one call; their ids are told apart by the lengths of the tokens' strings.  In the texts the strings of
+    special tokens are ordinary text.  Ids are kept as little-endian unsigned 16-bit where the vocabulary allows.
     """
 
     GROUP = 64
 
     def __init__(self, path: str, kind: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind = kind
-        self.mark = "\n" if kind == "space_prefix" else " \0 "
-        (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
-        self.plain = re.compile(r" ?\S+" if kind == "space_prefix" else r"[^\s\0]+").fullmatch
+        self.spaced = kind == "space_prefix"
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 65536 else "<u4"
+        self.sizes = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for token, i in self.tok.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token.removesuffix("</w>"))  # a character a byte
         self.memo: dict[str, bytes] = {}
 
-    def chunks(self, t: str) -> list[str]:
-        if self.kind == "space_dropped":
-            return [t] if _SEPARATORS.search(t) else t.split()
-        if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or _ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace():
-            return _CHUNK.findall(t)
-        out: list[str] = []
-        for line in t.split("\n"):
-            parts = line.split(" ")
-            out += parts[:1]
-            out += [" " + p for p in parts[1:]]
-            out.append("\n")
-        out.pop()
-        return out
+    def chunks(self, t: str) -> list[str] | None:
+        """Keys of a text; None if it is encoded whole."""
+        if not self.spaced:
+            return None if _SEPARATORS.search(t) else t.split()
+        if not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t or _ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace():
+            return None
+        parts = t.replace("\n", " \n").split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
+
+    def whole(self, t: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def learn(self, new: list[str]) -> None:
+        memo, both, first = self.memo, [], "\0" if self.spaced else ""
+        words: dict[str, None] = {}
+        for k in new:
+            if "\u0130" not in k and (m := _WORD_SIGNS(k)):  # its lower case has a mark that is no letter
+                a, b = m.groups()
+                b = first + b
+                both.append((k, a, b))
+                for x in (a, b):
+                    if x not in memo:
+                        words[x] = None
+            else:
+                words[k] = None
+        self._learn(list(words))
+        for k, a, b in both:
+            memo[k] = memo[a] + memo[b]
+
+    def _learn(self, words: list[str]) -> None:
         import numpy as np
 
-        plain = []
-        for p in new:
-            if self.plain(p):
-                plain.append(p)
-            else:
-                self.memo[p] = np.array(self.tok.encode(p, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if not plain:
+        if not words:
             return
-        (e,) = self.tok.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)
+        if self.spaced:  # a first word is learnt as after \n, one id more
+            texts = ["\n" + k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in words]
+            joined, made = "".join(texts), texts
+        else:
+            joined = " ".join(words)
+            made = self.tok.normalizer.normalize_str(joined).split(" ")
+        (e,) = self.tok.encode_batch_fast([joined], add_special_tokens=False)
         ids = np.array(e.ids, dtype=self.dtype)
-        ends = np.flatnonzero(ids == self.mark_id).tolist() + [len(ids)]
-        raw, size, start = ids.tobytes(), ids.itemsize, 0
-        for p, end in zip(plain, ends, strict=True):
-            self.memo[p] = raw[start * size : end * size]
-            start = end + 1
+        ends = np.cumsum(np.fromiter((len(x.encode()) for x in made), np.int64, len(made)))
+        cum = np.cumsum(self.sizes[ids])
+        at = np.searchsorted(cum, ends)
+        if len(made) == len(words) and len(cum) and at[-1] < len(cum) and (cum[at] == ends).all():
+            raw, size, start = ids.tobytes(), ids.itemsize, 0
+            for k, end in zip(words, ((at + 1) * size).tolist()):
+                self.memo[k] = raw[start + size : end] if k[0] == "\0" and self.spaced else raw[start:end]
+                start = end
+        else:
+            for k in words:
+                self.memo[k] = self.whole(k[1:] if k[0] == "\0" and self.spaced else k if not self.spaced or k[0] == "\n" else " " + k)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Id bytes of each text."""
-        out = []
+        out: list[bytes] = []
         for at in range(0, len(texts), self.GROUP):
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo.clear()
-            get = self.memo.get
-            group = [self.chunks(t) for t in texts[at : at + self.GROUP]]
-            found = [list(map(get, parts)) for parts in group]
-            new = {p for parts, ids in zip(group, found) if None in ids for p, x in zip(parts, ids) if x is None}
+            get, late, new = self.memo.get, [], set()
+            for t in texts[at : at + self.GROUP]:
+                parts = self.chunks(t)
+                if parts is None:
+                    out.append(self.whole(t))
+                    continue
+                ids = list(map(get, parts))
+                try:
+                    out.append(b"".join(ids))
+                except TypeError:
+                    new.update([p for p, x in zip(parts, ids) if x is None])
+                    late.append((len(out), parts))
+                    out.append(b"")
             if new:
                 self.learn(list(new))
-            out += [b"".join(map(get, parts) if None in ids else ids) for parts, ids in zip(group, found)]
+                for k, parts in late:
+                    out[k] = b"".join(map(get, parts))
         return out
 
 
-#: White space to Python's split, but not to the tokenizer.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-#: A chunk of a text with unusual white space: white space, then other characters.  A run of white space directly before
-#: other characters is cut by the pre-tokenizer inside the chunk, never across its ends.
-_CHUNK = re.compile(r"\s*\S+|\s+")
+#: White space to Python's split, but not to the tokenizer; and what marks keys.
+_SEPARATORS = re.compile("[\0\x1c-\x1f]")
 _ODD_SPACE = re.compile(r"[^\S \n]")
+_WORD_SIGNS = regex.compile(r"([\n\0]?\p{L}+)([!-/:-@\[-`{-~]+)").fullmatch
 
 
 def tokenizer(path: str, kind: str) -> MemoTokenizer:

@@ -144,11 +144,10 @@ def _histogram(vocabulary: int, dtype: str):
     def run(batches):
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                counts += np.bincount(np.frombuffer(ids, dtype), minlength=vocabulary) if len(ids) > 8 * vocabulary else 0
-                if len(ids) <= 8 * vocabulary:
-                    i, c = np.unique(np.frombuffer(ids, dtype), return_counts=True)
-                    counts[i] += c
+            column = batch.column("ids")
+            size = np.dtype(dtype).itemsize
+            ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+            counts += np.bincount(np.frombuffer(column.buffers()[2], dtype, (ends[-1] - ends[0]) // size, int(ends[0])), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "count"])
 

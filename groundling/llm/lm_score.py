@@ -25,7 +25,7 @@ from .common import cut, texts_of
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a chunk (one longer text is a chunk of its own) and, on average at most, behind a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 64 << 20
 _HASH_BITS = 56
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -60,21 +60,23 @@ class Chunk:
         for t in texts:
             w = words_of(t)
             sizes.append(len(w))
-            ids.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            ids.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
+        del texts
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.sizes = np.array(sizes, np.int64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.place = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
+        self.place = (np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
         digest = xxhash.xxh64_intdigest
         word = np.fromiter((digest(w) for w in number), np.uint64, len(number))
+        del number
         self.grams, self.counts, self.own = [], [], []
         h = word[ids] if len(ids) else np.zeros(0, np.uint64)
         first = h
         for o in range(order):
             if o == 0:  # by the words' numbers, without sorting all words
                 by = np.argsort(word >> np.uint64(64 - _HASH_BITS), kind="stable")
-                rank = np.empty(len(by), np.int64)
-                rank[by] = np.arange(len(by))
+                rank = np.empty(len(by), np.int32)
+                rank[by] = np.arange(len(by), dtype=np.int32)
                 self.grams.append((word >> np.uint64(64 - _HASH_BITS))[by])
                 self.counts.append(np.bincount(ids, minlength=len(word))[by] if len(ids) else np.zeros(0, np.int64))
                 self.own.append(rank[ids] if places else None)
@@ -86,6 +88,7 @@ class Chunk:
             x = h[self.place >= o] >> np.uint64(64 - _HASH_BITS)
             if places:
                 grams, own, counts = np.unique(x, return_inverse=True, return_counts=True)
+                own = own.astype(np.int32)
             else:
                 (grams, counts), own = np.unique(x, return_counts=True), None
             self.grams.append(grams), self.counts.append(counts), self.own.append(own)
@@ -102,7 +105,7 @@ def _chunks(chunk_bytes: int):
 
         def row():
             words = sum(len(words_of(t)) for t in texts)
-            blob = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, texts), protocol=5))
+            blob = zstandard.ZstdCompressor(level=9).compress(pickle.dumps((ids, texts), protocol=5))
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | number]), pa.array([words]), pa.array([size]), pa.array([blob], pa.binary())], ["chunk", "words", "bytes", "docs"])
 
         for batch in batches:
@@ -180,7 +183,7 @@ def _less_own(c: Chunk, o: int, total: np.ndarray) -> np.ndarray:
     place, doc = c.own[o], c.doc[c.place >= o]
     out = total[place].astype(np.int64)
     some = np.flatnonzero(out > 1)
-    key = doc[some] * max(1, len(total)) + place[some]
+    key = doc[some].astype(np.int64) * max(1, len(total)) + place[some]
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     out[some] -= n[back]
     out[total[place] <= 1] = 0
@@ -189,12 +192,13 @@ def _less_own(c: Chunk, o: int, total: np.ndarray) -> np.ndarray:
 
 def score_chunk(c: Chunk, totals: list[np.ndarray], words: int, backoff: float = BACKOFF, unseen: float = UNSEEN) -> np.ndarray:
     """Sum of log scores of each document; ``totals``: corpus counts of ``c.grams``, ``words``: words of the corpus."""
-    order, n = len(totals), len(c.doc)
+    order, n, totals = len(totals), len(c.doc), list(totals)
     left = []
     for o in range(order):
         full = np.zeros(n, np.int64)
         full[c.place >= o] = _less_own(c, o, totals[o])
         left.append(full)
+        c.own[o] = totals[o] = None  # used up
     others = np.maximum(words - c.sizes, 1)[c.doc] if n else np.zeros(0)
     history = np.minimum(c.place, order - 1)
     lp = history * math.log(backoff) + np.log(np.maximum(left[0], unseen)) - np.log(others)
@@ -214,6 +218,7 @@ def _scored(order: int, buckets: int, words: int, backoff: float, unseen: float)
         def close():
             ids, texts = _docs(held)
             c = Chunk(texts, order, True)
+            del texts
             totals = [np.concatenate([_unzip(a[o]) for a in answers]) if answers else np.zeros(0, np.uint64) for o in range(order)]
             s = score_chunk(c, totals, words, backoff, unseen)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c.sizes), pa.array(s), pa.array(s / np.maximum(c.sizes, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])

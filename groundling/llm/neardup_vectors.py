@@ -7,8 +7,8 @@ of coarse lines follows from the number of vectors, and the number of tables is
 pair at the threshold the wanted recall.
 
 Copies collapse to one representative first.  In a crowd each place looks at the nearest ``REACH`` others of its window
-only, which is enough to connect it; all links inside a component are then counted exactly, one block of its members
-against all of them, so a large group yields a row per vector and block, never its pairs.
+only, which is enough to connect it; all links inside a component are then counted exactly, in tiles of two blocks of its
+members, so that no task holds a group, and a large group yields a row per vector and block, never its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
-THRESHOLD, RECALL, MEETINGS, REACH, BLOCK = 0.98, 0.9999, 2, 24, 1024
+THRESHOLD, RECALL, MEETINGS, REACH, BLOCK = 0.98, 0.9999, 2, 24, 512
 #: Cell width and window half-width, in units of a unit vector's spread along a line.
 CELL, WINDOW, SEED = 2.0, 0.6, 20240917
 
@@ -130,39 +130,40 @@ def _verified(threshold: float):
     return run
 
 
-def _block_links(threshold: float):
+def _tile_links(threshold: float):
+    """Links between the two blocks of a tile, counted for the members of both; rows come sorted by (rep, i, j, role, id)."""
+
     def run(batches):
-        """Rows come sorted by (rep, block, first): the block's own members, then all members in turn."""
-        key, own_ids, own_x, found = None, [], [], None
+        key, held = None, {}
 
         def close():
-            if key is None:
+            if key is None or 0 not in held:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(own_ids, pa.int64()), pa.array(found if found is not None else np.zeros(len(own_ids), np.int64))], ["id", "n"])
+            ids, x, copies = held[0]
+            if key[1] == key[2]:  # a block with itself
+                near = x @ x.T >= threshold
+                np.fill_diagonal(near, False)
+                n = near @ copies
+            else:
+                other, y, more = held[1]
+                near = x @ y.T >= threshold
+                ids, n = np.concatenate([ids, other]), np.concatenate([near @ more, near.T @ copies])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
 
         for batch in batches:
-            reps, blocks, roles = (batch.column(c).to_pylist() for c in ("rep", "block", "role"))
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("rep", "i", "j", "role"))))
             start = 0
-            for end in range(1, len(reps) + 1):
-                if end < len(reps) and (reps[end], blocks[end], roles[end]) == (reps[start], blocks[start], roles[start]):
+            for end in range(1, len(marks) + 1):
+                if end < len(marks) and marks[end] == marks[start]:
                     continue
-                part = batch.slice(start, end - start)
-                if (reps[start], blocks[start]) != key:
+                if marks[start][:3] != key:
                     if (done := close()) is not None:
                         yield done
-                    key, own_ids, own_x, found = (reps[start], blocks[start]), [], [], None
-                x = _units(part.column("embedding"))
-                if roles[start] == 0:
-                    own_ids += part.column("id").to_pylist()
-                    own_x.append(x)
-                else:
-                    if len(own_x) > 1:
-                        own_x = [np.concatenate(own_x)]
-                    if found is None:
-                        found = np.zeros(len(own_ids), np.int64)
-                    near = own_x[0] @ x.T >= threshold
-                    same = np.array(own_ids)[:, None] == part.column("id").to_numpy()[None, :]
-                    found += (near & ~same) @ part.column("copies").to_numpy()
+                    key, held = marks[start][:3], {}
+                part = batch.slice(start, end - start)
+                own = part.column("id").to_numpy(), _units(part.column("embedding")), part.column("copies").to_numpy()
+                was = held.get(marks[start][3])
+                held[marks[start][3]] = own if was is None else tuple(np.concatenate(x) for x in zip(was, own))
                 start = end
         if (done := close()) is not None:
             yield done
@@ -198,11 +199,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     members = groups.select(F.col("node").alias("id"), "rep").join(reps.select("id", "embedding", "copies"), "id")
     sizes = groups.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = cut(members.join(sizes, "rep"), "members")
-    own = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).withColumn("role", F.lit(0))
-    all_ = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    columns = ["rep", "block", "role", "id", "embedding", "copies"]
-    dealt = own.select(columns).union(all_.select(columns)).repartition("rep", "block").sortWithinPartitions("rep", "block", "role", "id")
-    counted = dealt.mapInArrow(_block_links(threshold), "id long, n long")
+    members = members.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = [F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), (F.col("k") < F.col("b")).cast("int").alias("role")]
+    dealt = members.select("rep", *tile, "id", "embedding", "copies").repartition("rep", "i", "j").sortWithinPartitions("rep", "i", "j", "role", "id")
+    counted = dealt.mapInArrow(_tile_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
     named = reps.select("id", "key", "copies", "least").join(groups.select(F.col("node").alias("id"), "rep"), "id", "left").join(counted, "id", "left")
     named = cut(named.select("key", "copies", "least", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(0)).alias("n")), "named")

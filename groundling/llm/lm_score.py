@@ -25,7 +25,7 @@ from .common import cut, texts_of
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a chunk (one longer text is a chunk of its own) and, on average at most, behind a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 64 << 20
+CHUNK_BYTES, BUCKET_BYTES = 10 << 20, 64 << 20
 _HASH_BITS = 56
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 

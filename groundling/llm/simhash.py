@@ -22,6 +22,8 @@ from .common import connected_components, cut, texts_of
 
 SEED = 42
 _CHUNK = 1 << 16
+#: Ids of documents to drop that are sent to all tasks at most: 8 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str, words_per_shingle: int = 3) -> int:
@@ -151,11 +153,14 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, max_bits: int = 2, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without near-duplicates: of each component the rows of its least doc_id stay, all columns unchanged.
 
-    Rows with a null doc_id stay only in a component that has no other rows.
+    Rows with a null doc_id stay only in a component that has no other rows.  The ids that go are sent to all tasks if
+    there are at most ``broadcast_rows``, so that texts stay where they are; beyond that rows and ids meet by doc_id.
     """
-    groups = cut(simhash_groups(docs, max_bits).select("doc_id", "component_id").distinct(), "groups")
-    gone = groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("__gone"))
+    groups = simhash_groups(docs, max_bits).select("doc_id", "component_id").distinct()
+    gone = cut(groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("__gone")), "gone")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")

@@ -24,8 +24,8 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 # ---------------------------------------------------------------- tokenizer
 
-#: Entries of a worker's memo; at the bound the memo is emptied and refills.
-MEMO_ENTRIES = 1_000_000
+#: Entries of a worker's memo, in two generations: a full young one takes the old one's place, and what is used again moves over.
+MEMO_ENTRIES = 1_200_000
 _TOKENIZERS: dict[tuple[str, str], "MemoTokenizer"] = {}
 
 
@@ -58,6 +58,7 @@ class MemoTokenizer:
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
             self.sizes[i] = len(token.removesuffix("</w>"))  # a character a byte
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def chunks(self, t: str) -> list[str] | None:
         """Keys of a text; None if it is encoded whole."""
@@ -120,25 +121,34 @@ class MemoTokenizer:
         """Id bytes of each text."""
         out: list[bytes] = []
         for at in range(0, len(texts), self.GROUP):
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            get, late, new = self.memo.get, [], set()
+            if len(self.memo) > MEMO_ENTRIES // 2:
+                self.old, self.memo = self.memo, {}
+            get, old, late, new = self.memo.get, self.old.get, [], set()
             for t in texts[at : at + self.GROUP]:
                 parts = self.chunks(t)
                 if parts is None:
                     out.append(self.whole(t))
                     continue
                 ids = list(map(get, parts))
-                try:
-                    out.append(b"".join(ids))
-                except TypeError:
-                    new.update([p for p, x in zip(parts, ids) if x is None])
-                    late.append((len(out), parts))
+                if None in ids:
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    new.update([parts[i] for i in gaps])
+                    late.append((len(out), [(i, parts[i]) for i in gaps], ids))
                     out.append(b"")
+                else:
+                    out.append(b"".join(ids))
             if new:
-                self.learn(list(new))
-                for k, parts in late:
-                    out[k] = b"".join(map(get, parts))
+                unknown = []
+                for k in new:
+                    if (x := old(k)) is None:
+                        unknown.append(k)
+                    else:
+                        self.memo[k] = x
+                self.learn(unknown)
+                for k, gaps, ids in late:
+                    for i, p in gaps:
+                        ids[i] = get(p)
+                    out[k] = b"".join(ids)
         return out
 
 

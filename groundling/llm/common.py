@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ class MemoTokenizer:
     special tokens are ordinary text.  Ids are kept as little-endian unsigned 16-bit where the vocabulary allows.
     """
 
-    GROUP = 64
+    GROUP = 1 << 20
 
     def __init__(self, path: str, kind: str):
         import numpy as np
@@ -60,15 +61,13 @@ class MemoTokenizer:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def chunks(self, t: str) -> list[str] | None:
-        """Keys of a text; None if it is encoded whole."""
-        if not self.spaced:
-            return None if _SEPARATORS.search(t) else t.split()
-        if not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t or _ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace():
-            return None
-        parts = t.replace("\n", " \n").split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
+    def chunks(self, texts: list[str]) -> tuple[list[int], pa.ListArray]:
+        """(places of the texts that can be split, their keys); the other texts are encoded whole."""
+        if self.spaced:
+            at = [i for i, t in enumerate(texts) if not (not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t or _ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace())]
+            return at, pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in at], pa.large_string()), " ")
+        at = [i for i, t in enumerate(texts) if t.isascii() and not _SEPARATORS.search(t) or not _OTHER_SPACE.search(t)]
+        return at, pc.ascii_split_whitespace(pa.array([texts[i] for i in at], pa.large_string()))
 
     def whole(self, t: str) -> bytes:
         import numpy as np
@@ -77,6 +76,8 @@ class MemoTokenizer:
 
     def learn(self, new: list[str]) -> None:
         memo, both, first = self.memo, [], "\0" if self.spaced else ""
+        memo[""] = b""  # white space at an end
+        new = [k for k in new if k]
         words: dict[str, None] = {}
         for k in new:
             if "\u0130" not in k and (m := _WORD_SIGNS(k)):  # its lower case has a mark that is no letter
@@ -118,42 +119,54 @@ class MemoTokenizer:
                 self.memo[k] = self.whole(k[1:] if k[0] == "\0" and self.spaced else k if not self.spaced or k[0] == "\n" else " " + k)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Id bytes of each text."""
+        """Id bytes of each text; texts go in groups of about ``GROUP`` characters."""
         out: list[bytes] = []
-        for at in range(0, len(texts), self.GROUP):
-            if len(self.memo) > MEMO_ENTRIES // 2:
-                self.old, self.memo = self.memo, {}
-            get, old, late, new = self.memo.get, self.old.get, [], set()
-            for t in texts[at : at + self.GROUP]:
-                parts = self.chunks(t)
-                if parts is None:
-                    out.append(self.whole(t))
-                    continue
-                ids = list(map(get, parts))
-                if None in ids:
-                    gaps = [i for i, x in enumerate(ids) if x is None]
-                    new.update([parts[i] for i in gaps])
-                    late.append((len(out), [(i, parts[i]) for i in gaps], ids))
-                    out.append(b"")
-                else:
-                    out.append(b"".join(ids))
-            if new:
-                unknown = []
-                for k in new:
-                    if (x := old(k)) is None:
-                        unknown.append(k)
-                    else:
-                        self.memo[k] = x
-                self.learn(unknown)
-                for k, gaps, ids in late:
-                    for i, p in gaps:
-                        ids[i] = get(p)
-                    out[k] = b"".join(ids)
-        return out
+        group, size = [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= self.GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group) if group else out
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.old, self.memo = self.memo, {}
+        at, keys = self.chunks(texts)
+        coded = keys.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        memo, old, new = self.memo, self.old.get, []
+        ids = list(map(memo.get, words))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        for i in gaps:
+            k = words[i]
+            if (x := old(k)) is None:
+                new.append(k)
+            else:
+                memo[k] = x
+        self.learn(new)
+        for i in gaps:
+            ids[i] = memo[words[i]]
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        flat, starts = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        place = np.repeat(starts[word] - (ends - n), n)
+        place += np.arange(len(place))
+        raw = flat[place].tobytes()
+        bounds = np.concatenate([[0], ends])[keys.offsets.to_numpy() - keys.offsets[0].as_py()] * width
+        out = dict(zip(at, [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]))
+        return [out[i] if i in out else self.whole(t) for i, t in enumerate(texts)]
 
 
 #: White space to Python's split, but not to the tokenizer; and what marks keys.
 _SEPARATORS = re.compile("[\0\x1c-\x1f]")
+_OTHER_SPACE = re.compile("[^\\S\x20\x09-\x0d]|\0")
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _WORD_SIGNS = regex.compile(r"([\n\0]?\p{L}+)([!-/:-@\[-`{-~]+)").fullmatch
 

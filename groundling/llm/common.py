@@ -26,7 +26,7 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 # ---------------------------------------------------------------- tokenizer
 
 #: Entries of a worker's memo, in two generations: a full young one takes the old one's place, and what is used again moves over.
-MEMO_ENTRIES = 1_200_000
+MEMO_ENTRIES = 800_000
 _TOKENIZERS: dict[tuple[str, str], "MemoTokenizer"] = {}
 
 

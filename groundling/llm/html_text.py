@@ -7,7 +7,7 @@ Wrappers merge like pages do, so each task folds its own pages first and a host
 
 What is kept of a page: inside its main element (or article, or what is marked as one) all blocks but those of elements
 that say they are something else (menus, forms, adverts, comments ...) and those whose slot has the same text in all of
-the host's pages.  In a page without such an element the wrapper tells the main subtree: the smallest that holds most of
+the host's pages, if enough of these differ; nothing inside an article is taken for fixed.  In a page without such an element the wrapper tells the main subtree: the smallest that holds most of
 the text that varies and is no link.
 """
 
@@ -20,6 +20,7 @@ import zlib
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,11 @@ OTHER = re.compile(
 )
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|story|entry|main|content|maincontent)(?:$|[\s_-])", re.I)
-#: Bytes of wrappers that are sent to all tasks; pages that must share a slot before its text counts as fixed.
+#: Bytes of wrappers that are sent to all tasks; different pages a host must have before a text counts as fixed.
 BROADCAST_BYTES, FIXED_PAGES = 16 << 20, 8
 _MAX_DEPTH = 200
+#: The slot of a page itself.
+ROOT = 1
 
 
 class Node:
@@ -148,14 +151,15 @@ def tidy(s: str) -> str:
 class Wrapper:
     """A node of a union-free expression: its signature, in how many pages, whether repeated, and its parts in order.
 
-    ``fixed``: hashes of the texts that all pages have in this slot; ``chars``, ``links``: characters of all text and
-    of link text, summed over pages.
+    ``fixed``: the texts that all pages have in this slot, as slot hash and length; ``always``: whether all pages that
+    have the parent have this; ``chars``, ``links``: characters of all text and of link text, summed over pages;
+    ``seen``: at the root, the least hashes of different pages, ``FIXED_PAGES`` of them at most.
     """
 
-    __slots__ = ("sig", "pages", "most", "fixed", "chars", "links", "kids", "other")
+    __slots__ = ("sig", "pages", "most", "fixed", "always", "chars", "links", "kids", "other", "seen")
 
     def __init__(self, sig: str, other: bool = False):
-        self.sig, self.pages, self.most, self.fixed, self.chars, self.links, self.kids, self.other = sig, 1, 1, frozenset(), 0, 0, [], other
+        self.sig, self.pages, self.most, self.fixed, self.always, self.chars, self.links, self.kids, self.other, self.seen = sig, 1, 1, {}, True, 0, 0, [], other, frozenset()
 
     def __getstate__(self):
         return tuple(getattr(self, k) for k in self.__slots__)
@@ -165,12 +169,24 @@ class Wrapper:
             setattr(self, k, v)
 
 
-def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace"))
+def _hash(text: str, at: int) -> int:
+    """Of a text in the slot ``at``, and of the slot of a part with that signature."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), at) >> 1
 
 
-def wrapper_of(node: Node) -> Wrapper:
-    """A page's own wrapper; inline elements are part of their block's text slot."""
+def page_wrapper(root: Node) -> Wrapper:
+    """A page's own wrapper, which knows the page: copies with the same texts in the same slots are one."""
+    w = wrapper_of(root, ROOT)
+    w.seen = frozenset([_hash(repr(_shape(w)), 0)])
+    return w
+
+
+def _shape(w: Wrapper) -> tuple:
+    return w.sig, w.chars, sorted(w.fixed), [_shape(k) for k in w.kids]
+
+
+def wrapper_of(node: Node, at: int) -> Wrapper:
+    """The wrapper of one element in the slot ``at``; inline elements are part of their block's text slot."""
     w = Wrapper(node.sig, node.other)
     if node.other:
         return w
@@ -179,10 +195,10 @@ def wrapper_of(node: Node) -> Wrapper:
     own = tidy("".join(text))
     w.chars = len(own)
     if own:
-        w.fixed = frozenset([_hash(own)])
+        w.fixed = {_hash(own, at): len(own)}
     folded: dict[str, Wrapper] = {}
     for kid in parts:
-        own = wrapper_of(kid)
+        own = wrapper_of(kid, _hash(kid.sig, at))
         if own.sig in folded:  # equal siblings: a repeated group
             merge(folded[own.sig], own, True)
         else:
@@ -207,10 +223,15 @@ def merge(a: Wrapper, b: Wrapper, repeat: bool = False) -> None:
     """Align ``b`` with ``a``, which becomes the wrapper of both: of two pages, or of two siblings of one page."""
     if repeat:
         a.most += b.most
-        a.fixed |= b.fixed
+        a.fixed = a.fixed | b.fixed
     else:
         a.pages, a.most = a.pages + b.pages, max(a.most, b.most)
-        a.fixed &= b.fixed
+        a.fixed = {h: n for h, n in a.fixed.items() if h in b.fixed}
+        a.always = a.always and b.always
+        a.seen = frozenset(sorted(a.seen | b.seen)[:FIXED_PAGES])
+        both = {k.sig for k in a.kids} & {k.sig for k in b.kids}
+        for k in a.kids + b.kids:
+            k.always = k.always and k.sig in both
     a.chars, a.links = a.chars + b.chars, a.links + b.links
     at = {k.sig: i for i, k in enumerate(a.kids)}
     out, done, pending = [], 0, []
@@ -226,89 +247,105 @@ def merge(a: Wrapper, b: Wrapper, repeat: bool = False) -> None:
     a.kids = out + pending + a.kids[done:]
 
 
-def _varied(w: Wrapper) -> float:
-    own = 0 if w.other or w.fixed and w.most == 1 and w.pages >= FIXED_PAGES else max(0, w.chars - 2 * w.links)
-    return own + sum(_varied(k) for k in w.kids if not k.other)
+def _varied(w: Wrapper, known: bool) -> float:
+    """Characters that are no link and not the same on all pages; ``known``: whether fixed texts can be told here."""
+    if w.other:
+        return 0
+    same = w.pages * sum(w.fixed.values()) if known else 0
+    return max(0, w.chars - same - 2 * w.links) + sum(_varied(k, known and k.always) for k in w.kids)
 
 
 def _chars(w: Wrapper) -> int:
     return 0 if w.other else w.chars + sum(map(_chars, w.kids))
 
 
+def _known(w: Wrapper) -> bool:
+    """Whether a host has enough different pages to tell what is fixed."""
+    return len(w.seen) >= FIXED_PAGES
+
+
 def main_path(w: Wrapper) -> tuple[str, ...]:
     """Signatures from the root to the smallest subtree with nine tenths of the varied text."""
-    total, path = _varied(w), []
+    known, path = _known(w), []
+    total = _varied(w, known)
     while total:
-        best = max((k for k in w.kids if not k.other), key=lambda k: (_varied(k), k.sig), default=None)
-        if best is None or _varied(best) < 0.9 * total or best.sig.partition(".")[0] in BLOCKS:
+        most, best = max(((_varied(k, known and k.always), k) for k in w.kids if not k.other), key=lambda x: (x[0], x[1].sig), default=(0, None))
+        if best is None or most < 0.9 * total or best.sig.partition(".")[0] in BLOCKS:
             break
         path.append(best.sig)
-        w = best
+        w, known = best, known and best.always
     return tuple(path)
 
 
 def fixed_texts(w: Wrapper) -> set[int]:
-    """Hashes of the texts that all pages have in one slot; none where pages are mostly copies of each other."""
+    """Slot hashes of the texts that all pages have in one slot; none where pages are mostly copies of each other."""
     out, stack = set(), [w]
-    if 2 * _varied(w) < _chars(w):
+    if not _known(w) or 2 * _varied(w, True) < _chars(w):
         return out
     while stack:
         x = stack.pop()
-        if x.pages >= FIXED_PAGES:
-            out |= x.fixed
-        stack += [k for k in x.kids if not k.other]
+        out |= x.fixed.keys()
+        stack += [k for k in x.kids if k.always and not k.other]
     return out
 
 
 # ---------------------------------------------------------------- text of a page
 
 
-def _blocks(node: Node, out: list[str], heads_only: bool = False) -> None:
-    """Blocks in page order.  A header inside the main text gives its headings only."""
+def _blocks(node: Node, at: int, fixed: frozenset, out: list[str], heads_only: bool = False) -> None:
+    """Blocks in page order without the fixed ones.  A header inside the main text gives its headings only."""
     held: list[str] = []
+    slots: set[int] = set()  # 0: inside an article, where nothing is fixed
 
     def flush():
-        if t := tidy("".join(held)):
+        if (t := tidy("".join(held))) and not (fixed and len(slots) == 1 and (slot := next(iter(slots))) and _hash(t, slot) in fixed):
             out.append(t)
         held.clear()
+        slots.clear()
 
-    def walk(n: Node, heads: bool) -> None:
+    def walk(n: Node, heads: bool, at: int) -> None:
         for k in n.kids:
             if isinstance(k, str):
                 if not heads:
                     held.append(k)
+                    if not k.isspace():
+                        slots.add(at)
             elif k.other:
                 if k.tag not in INLINE:
                     flush()
             elif k.tag in ("br", "wbr", "img"):
                 held.append(" " if k.tag == "br" else "")
             elif k.tag in INLINE:
-                walk(k, heads)
-            elif k.tag in ("td", "th"):
-                held.append(" ")
-                walk(k, heads)
-                held.append(" ")
+                walk(k, heads, at)
             else:
-                flush()
-                walk(k, (heads or k.tag == "header") and k.tag not in HEADINGS)
-                flush()
+                slot = 0 if k.main == 2 or not at else _hash(k.sig, at)
+                if k.tag in ("td", "th"):
+                    held.append(" ")
+                    walk(k, heads, slot)
+                    held.append(" ")
+                else:
+                    flush()
+                    walk(k, (heads or k.tag == "header") and k.tag not in HEADINGS, slot)
+                    flush()
 
-    walk(node, heads_only)
+    walk(node, heads_only, 0 if node.main == 2 else at)
     flush()
 
 
-def _mains(root: Node) -> list[Node]:
-    """The outermost of the surest kind of main elements."""
-    found: dict[int, list[Node]] = {}
-    stack: list[tuple[Node, frozenset]] = [(root, frozenset())]
+def _mains(root: Node) -> list[tuple[Node, int]]:
+    """The outermost of the surest kind of main elements, and their slots."""
+    found: dict[int, list[tuple[Node, int]]] = {}
+    stack: list[tuple[Node, int, frozenset]] = [(root, ROOT, frozenset())]
     while stack:
-        n, inside = stack.pop()
+        n, at, inside = stack.pop()
         if n.other:
             continue
         if n.main and n.main not in inside:
-            found.setdefault(n.main, []).append(n)
+            found.setdefault(n.main, []).append((n, at))
             inside = inside | {n.main}
-        stack += [(k, inside) for k in reversed(n.kids) if isinstance(k, Node)]
+        if n.main == 2:
+            at = 0
+        stack += [(k, at if k.tag in INLINE or not at else _hash(k.sig, at), inside) for k in reversed(n.kids) if isinstance(k, Node)]
     for kind in (3, 2, 1):
         if kind in found and (kind > 1 or len(found[kind]) == 1):
             return found[kind]
@@ -323,16 +360,16 @@ def main_text(root: Node, wrapper: tuple[tuple[str, ...], frozenset] | None = No
     if nodes:
         path = ()
     else:
-        nodes = [root]
+        nodes = [(root, ROOT)]
     for sig in path:
-        deeper = [k for n in nodes for k in _parts(n) if k.sig == sig and not k.other]
+        deeper = [(k, _hash(sig, at)) for n, at in nodes for k in _parts(n) if k.sig == sig and not k.other]
         if not deeper:
             break
         nodes = deeper
-    for n in nodes:
+    for n, at in nodes:
         if not n.other:
-            _blocks(n, out)
-    return "\n".join(t for t in out if _hash(t) not in fixed) if fixed else "\n".join(out)
+            _blocks(n, at, fixed, out)
+    return "\n".join(out)
 
 
 def _parts(node: Node) -> list[Node]:
@@ -365,7 +402,7 @@ def _own_wrappers(batches):
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = wrapper_of(parse(page or ""))
+            own = page_wrapper(parse(page or ""))
             if host in held:
                 merge(held[host], own)
             else:

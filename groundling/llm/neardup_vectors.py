@@ -6,9 +6,12 @@ met is counted over all tables; pairs that met at least ``MEETINGS`` times are v
 of coarse lines follows from the number of vectors, and the number of tables is the least whose binomial tail gives a
 pair at the threshold the wanted recall.
 
-Copies collapse to one representative first.  In a crowd each place looks at the nearest ``REACH`` others of its window
-only, which is enough to connect it; all links inside a component are then counted exactly, in tiles of two blocks of its
-members, so that no task holds a group, and a large group yields a row per vector and block, never its pairs.
+Copies collapse to one representative first.  In a crowd each place pairs with the nearest ``REACH`` others of its window
+only; pairs further apart in the order are between vectors with more than ``REACH`` others in their window.  Where such
+vectors of one cell are in several of the components found so far, all pairs of them that would join two components are
+compared exactly, in tiles, so that no meeting of the whole window is lost.  All links inside a component are then counted
+exactly, in tiles of two blocks of its members, so that no task holds a group, and a large group yields a row per vector
+and block, never its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
-THRESHOLD, RECALL, MEETINGS, REACH, BLOCK = 0.98, 0.9999, 2, 24, 512
+THRESHOLD, RECALL, MEETINGS, REACH, BLOCK, CROWD_BLOCK = 0.98, 0.9999, 2, 24, 512, 2048
 #: Cell width and window half-width, in units of a unit vector's spread along a line.
 CELL, WINDOW, SEED = 2.0, 0.6, 20240917
 
@@ -93,7 +96,10 @@ def _places(lines: int, tables: int):
 
 
 def _meetings(batches):
-    """Rows come sorted by (label, dim, t, cell, at): each looks at the next ``REACH`` rows of its cell and window."""
+    """Rows come sorted by (label, dim, t, cell, at): pairs of each with the next ``REACH`` rows of its cell and window.
+
+    A row whose window goes on beyond them, either way, is told as crowded in that table and cell, as a pair of itself.
+    """
     held = None
     for batch in batches:
         new = 0
@@ -101,18 +107,24 @@ def _meetings(batches):
             new, batch = held.num_rows, pa.concat_batches([held, batch])
         cols = [batch.column(c).to_numpy() for c in ("label", "dim", "t", "cell")]
         at, ids = batch.column("at").to_numpy(), batch.column("id").to_numpy()
-        a, b = [], []
-        for k in range(1, min(REACH, len(at) - 1) + 1):
+        a, b, t, cell = [], [], [], []
+        for k in range(1, min(REACH + 1, len(at) - 1) + 1):
             near = at[k:] - at[:-k] <= WINDOW
             for c in cols:
                 near &= c[k:] == c[:-k]
             left = np.flatnonzero(near)
             left = left[left + k >= new]  # the others were seen with the batch before
-            a.append(ids[left]), b.append(ids[left + k])
-        held = batch.slice(max(0, batch.num_rows - REACH))
+            if k <= REACH:
+                a.append(ids[left]), b.append(ids[left + k])
+                t.append(np.full(len(left), -1)), cell.append(np.zeros(len(left), np.int64))
+            else:
+                left = np.unique(np.concatenate([left, left + k]))
+                a.append(ids[left]), b.append(ids[left])
+                t.append(cols[2][left]), cell.append(cols[3][left])
+        held = batch.slice(max(0, batch.num_rows - REACH - 1))
         if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            a, b, t, cell = map(np.concatenate, (a, b, t, cell))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(t, pa.int32()), pa.array(cell)], ["a", "b", "t", "cell"])
 
 
 def _verified(threshold: float):
@@ -130,6 +142,78 @@ def _verified(threshold: float):
     return run
 
 
+def _joins(threshold: float):
+    """Pairs of components with a link between the two blocks of a tile; rows come sorted by (label, dim, t, cell, i, j, role)."""
+
+    def linked(x, a, y, b):
+        """Links of unlike components; the larger side's most frequent component is not compared with itself."""
+        out = set()
+        names, n = np.unique(np.concatenate([a, b]), return_counts=True)
+        top = names[n.argmax()]
+        for u, p, v, q in ((x[a != top], a[a != top], y, b), (x[a == top], a[a == top], y[b != top], b[b != top])):
+            if not len(v):
+                continue
+            for k in range(0, len(u), 256):
+                i, j = np.nonzero((u[k : k + 256] @ v.T >= threshold) & (p[k : k + 256, None] != q[None, :]))
+                if len(i):
+                    out.update(map(tuple, np.unique(np.stack([p[k + i], q[j]], 1), axis=0).tolist()))
+        return out
+
+    def run(batches):
+        key, held = None, {}
+
+        def close():
+            if key is None or 0 not in held:
+                return None
+            x, a = (np.concatenate(k) for k in zip(*held[0]))
+            y, b = (x, a) if key[-1] == key[-2] else (np.concatenate(k) for k in zip(*held[1])) if 1 in held else (None, None)
+            if y is None:
+                return None
+            out = sorted(linked(x, a, y, b))
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "t", "cell", "i", "j", "role"))))
+            start = 0
+            for end in range(1, len(marks) + 1):
+                if end < len(marks) and marks[end] == marks[start]:
+                    continue
+                if marks[start][:-1] != key:
+                    if (done := close()) is not None:
+                        yield done
+                    key, held = marks[start][:-1], {}
+                part = batch.slice(start, end - start)
+                held.setdefault(marks[start][-1], []).append((_units(part.column("embedding")), part.column("rep").to_numpy()))
+                start = end
+        if (done := close()) is not None:
+            yield done
+
+    return run
+
+
+def _tiles(key: str, blocks: str, members: DataFrame) -> DataFrame:
+    """``members`` once for each tile of two of their group's ``blocks``: i <= j, and role 1 for the second block."""
+    members = members.withColumn("b", F.pmod(F.xxhash64(key), F.col(blocks).cast("long")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return members.select("*", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), (F.col("k") < F.col("b")).cast("int").alias("role"))
+
+
+def _joined(groups: DataFrame, crowded: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """``groups`` after all links between crowded vectors of one cell have joined the components of their ends."""
+    cells = ["label", "dim", "t", "cell"]
+    named = crowded.join(groups.select(F.col("node").alias("id"), "rep"), "id", "left").join(reps.select("id", "label", "dim"), "id")
+    named = cut(named.select(*cells, "id", F.coalesce("rep", "id").alias("rep")), "crowded")
+    mixed = named.groupBy(*cells).agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.ceil(F.count(F.lit(1)) / CROWD_BLOCK).cast("int").alias("blocks")).where("x < y")
+    mixed = cut(named.join(mixed.select(*cells, "blocks"), cells), "mixed")
+    if mixed.isEmpty():
+        return groups
+    tiles = _tiles("id", "blocks", mixed.join(reps.select("id", "embedding"), "id")).select(*cells, "i", "j", "role", "rep", "embedding")
+    tiles = tiles.repartition(*cells, "i", "j").sortWithinPartitions(*cells, "i", "j", "role")
+    joins = cut(tiles.mapInArrow(_joins(threshold), "a long, b long").distinct(), "joins")
+    if joins.isEmpty():
+        return groups
+    return cut(connected_components(groups.select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").union(joins)), "joined")
+
+
 def _tile_links(threshold: float):
     """Links between the two blocks of a tile, counted for the members of both; rows come sorted by (rep, i, j, role, id)."""
 
@@ -189,19 +273,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
 
     places = reps.select("id", "label", "dim", "embedding").mapInArrow(_places(lines, tables), "label long, dim int, t int, cell long, at double, id long")
     order = ["label", "dim", "t", "cell"]
-    met = places.repartition(*order).sortWithinPartitions(*order, "at", "id").mapInArrow(_meetings, "a long, b long")
-    pairs = cut(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MEETINGS).select("a", "b"), "pairs")
+    met = places.repartition(*order).sortWithinPartitions(*order, "at", "id").mapInArrow(_meetings, "a long, b long, t int, cell long")
+    met = cut(met.groupBy("a", "b", "t", "cell").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= MEETINGS) | (F.col("t") >= 0)).drop("n"), "pairs")
+    pairs = met.where("t < 0").select("a", "b")
     x = reps.select(F.col("id").alias("a"), F.col("embedding").alias("x"), "dim")
     y = reps.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "dim", "x", "y").mapInArrow(_verified(threshold), "a long, b long")
     groups = cut(connected_components(links), "groups")
+    groups = _joined(groups, met.where("t >= 0").select(F.col("a").alias("id"), "t", "cell"), reps, threshold)
 
     members = groups.select(F.col("node").alias("id"), "rep").join(reps.select("id", "embedding", "copies"), "id")
     sizes = groups.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = cut(members.join(sizes, "rep"), "members")
-    members = members.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tile = [F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), (F.col("k") < F.col("b")).cast("int").alias("role")]
-    dealt = members.select("rep", *tile, "id", "embedding", "copies").repartition("rep", "i", "j").sortWithinPartitions("rep", "i", "j", "role", "id")
+    dealt = _tiles("id", "blocks", members).select("rep", "i", "j", "role", "id", "embedding", "copies").repartition("rep", "i", "j").sortWithinPartitions("rep", "i", "j", "role", "id")
     counted = dealt.mapInArrow(_tile_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
     named = reps.select("id", "key", "copies", "least").join(groups.select(F.col("node").alias("id"), "rep"), "id", "left").join(counted, "id", "left")

@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
-from groundling.llm import html_text
+import numpy as np
+
+from groundling.llm import html_text, neardup_vectors
 
 
 def texts(spark, rows):
@@ -22,3 +24,28 @@ def test_html_copied_pages_keep_their_text(spark):
     got = texts(spark, rows)
     assert all(got[i] == whole and got[20 + i] == whole and got[40 + i] == f"{whole}\nno. {i}" for i in range(12))
     assert all(got[60 + i] == f"Title {i}\nJoin us\nOwn text number {i} {'q' * 40}" for i in range(12))
+
+
+def test_near_vectors_of_a_crowd(spark):
+    """A dense group, and vectors that link to only a few of it: every link counts, however crowded the window."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    group = unit(centre + 0.075 * unit(rng.standard_normal((1500, 64))))
+    few = []
+    for m in group[:60]:  # beyond the group on a member's own side: near that member, further from the rest
+        few.append(unit(m + 0.17 * unit(m - (m @ centre) * centre) + 0.05 * unit(rng.standard_normal(64))))
+    x = np.concatenate([group, np.array(few)])
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    label, todo = np.full(len(x), -1), []
+    for i in range(len(x)):
+        if label[i] < 0:
+            label[i], todo = i, [i]
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & (label < 0)).tolist():
+                    label[j] = i
+                    todo.append(j)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_vectors(df).collect()}
+    assert {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))} == got

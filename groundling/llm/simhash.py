@@ -153,24 +153,30 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _with_fingerprint(schema):
+def _with_mark(schema, mark, kind: str):
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, mark(texts_of(batch))], [*batch.schema.names, "__fp"])
 
-    return run, [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["__fp long"]
+    return run, [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"__fp {kind}"]
 
 
 def keep_one(docs: DataFrame, max_bits: int = 2, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the rows of its least doc_id stay, all columns unchanged.
+    """``docs`` without near-duplicates: of each component the rows of its least doc_id stay, all columns unchanged."""
+    mark = lambda texts: pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+    return drop_rows(docs, simhash_groups(docs, max_bits), mark, "long", broadcast_rows)
+
+
+def drop_rows(docs: DataFrame, groups: DataFrame, mark, kind: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with the rows of the least doc_id of each component of ``groups(doc_id, fp, component_id)``.
 
     Rows with a null doc_id stay only in a component that has no other rows.  Where rows of one doc_id are in several
-    components, each is judged by its own.  The ids that go are sent to all tasks if there are at most
-    ``broadcast_rows``, so that texts stay where they are; beyond that rows and ids meet by doc_id.
+    components, each is judged by its own, which ``mark`` tells: from texts to an array of ``fp``, of the type ``kind``.
+    The ids that go are sent to all tasks if there are at most ``broadcast_rows``, so that texts stay where they are;
+    beyond that rows and ids meet by doc_id.
     """
     goes = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))
-    groups = simhash_groups(docs, max_bits).select("doc_id", F.col("fp").alias("__f"), goes.alias("goes"))
+    groups = groups.select("doc_id", F.col("fp").alias("__f"), goes.alias("goes"))
     ids = groups.groupBy("doc_id").agg(F.bool_and("goes").alias("all"), F.bool_or("goes").alias("some"), F.collect_set(F.when(F.col("goes"), F.col("__f"))).alias("fps"))
     gone = cut(ids.where("some").select(F.col("doc_id").alias("__gone"), "all", F.when(~F.col("all"), F.col("fps")).alias("fps")), "gone")
     n, mixed = gone.agg(F.count(F.lit(1)), F.count_if(~F.col("all"))).first()
@@ -179,7 +185,7 @@ def keep_one(docs: DataFrame, max_bits: int = 2, broadcast_rows: int = BROADCAST
     kept = docs.join(bounded(gone.select("__gone")), same, "left_anti")
     if mixed:  # doc_ids with rows that stay: fingerprints tell them apart
         some = gone.where(~F.col("all")).select("__gone", F.explode("fps").alias("__f"))
-        run, fields = _with_fingerprint(docs.schema)
+        run, fields = _with_mark(docs.schema, mark, kind)
         rows = docs.join(bounded(some.select("__gone").distinct()), same, "left_semi").mapInArrow(run, ", ".join(fields))
         rest = rows.join(bounded(some), rows["doc_id"].eqNullSafe(F.col("__gone")) & (rows["__fp"] == F.col("__f")), "left_anti").drop("__fp")
         kept = kept.unionByName(rest)

@@ -1,8 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+from collections import Counter
+
+import corpus_pipeline
 import numpy as np
 
-from groundling.llm import html_text, neardup_vectors
+from groundling.llm import html_text, near_text, neardup_vectors
 
 
 def texts(spark, rows):
@@ -49,3 +53,33 @@ def test_near_vectors_of_a_crowd(spark):
     df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_vectors(df).collect()}
     assert {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))} == got
+
+
+def test_pipeline_drops_near_copies(spark):
+    """Against brute force over the shingle sets, and through the pipeline's stage."""
+    rng = random.Random(9)
+    own = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, base = [], [own(120) for _ in range(12)]
+    for k, words in enumerate(base):
+        rows.append((100 * k, " ".join(words)))
+        for c in range(1, 9):
+            w = list(words)
+            for _ in range(c):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            rows.append((100 * k + c, " ".join(w)))
+    rows += [(5000, None), (5001, " "), (5002, "two words"), (5003, "Two  WORDS"), (None, rows[0][1]), (300, "two words"), (6000, " ".join(base[0]).upper())]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    least, reach = [], [{j for j in range(len(rows)) if len(a & sets[j]) >= 0.8 * len(a | sets[j])} for a in sets]
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = reach[todo.pop()] - seen
+            seen |= new
+            todo += new
+        least.append(min((rows[j][0] for j in seen if rows[j][0] is not None), default=None))
+    want = Counter(r for r, c in zip(rows, least) if r[0] == c)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n in (near_text.BROADCAST_ROWS, -1):
+        assert Counter(map(tuple, near_text.keep_one(df, broadcast_rows=n).collect())) == want
+    assert Counter(map(tuple, corpus_pipeline.drop_near_copies(spark, df, "").collect())) == want
+    assert near_text.keep_one(df.limit(0)).count() == 0

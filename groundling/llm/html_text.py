@@ -7,7 +7,8 @@ Wrappers merge like pages do, so each task folds its own pages first and a host
 
 What is kept of a page: inside its main element (or article, or what is marked as one) all blocks but those of elements
 that say they are something else (menus, forms, adverts, comments ...) and those whose slot has the same text in all of
-the host's pages, if enough of these differ; nothing inside an article is taken for fixed.  In a page without such an element the wrapper tells the main subtree: the smallest that holds most of
+the host's pages, if enough of these differ; nothing inside an article is taken for fixed.  What only its class or id marks as something else
+is not that if it holds most of the host's varied text, or the page's only main element or article.  In a page without such an element the wrapper tells the main subtree: the smallest that holds most of
 the text that varies and is no link.
 """
 
@@ -44,6 +45,8 @@ OTHER = re.compile(
     r"comment|comments|commentlist|respond|reply|replies|disqus|discussion|share|sharing|social|related|recommended|recommendations|teaser|teasers|newsletter|subscribe|subscription|signup|login|search|searchbox|form|copyright|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Those of the head of a page or article, whose headings count inside the main text.
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|story|entry|main|content|maincontent)(?:$|[\s_-])", re.I)
 #: Bytes of wrappers that are sent to all tasks; different pages a host must have before a text counts as fixed.
@@ -56,7 +59,7 @@ ROOT = 1
 class Node:
     """An element of a page; ``kids`` are elements and strings."""
 
-    __slots__ = ("tag", "sig", "kids", "other", "main")
+    __slots__ = ("tag", "sig", "kids", "other", "named", "head", "main")
 
     def __init__(self, tag: str, attrs: dict):
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".strip()
@@ -64,7 +67,10 @@ class Node:
         self.tag, self.kids = tag, []
         self.sig = f"{tag}.{'.'.join(sorted((attrs.get('class') or '').lower().split()))}" if attrs.get("class") else tag
         hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
-        self.other = tag in NEVER or role in ROLES or hidden or (tag not in ("html", "body", "main") and tag not in HEADINGS and OTHER.search(names) is not None)
+        own = tag in NEVER or role in ROLES or hidden
+        self.named = not own and tag not in ("html", "body", "main") and tag not in HEADINGS and OTHER.search(names) is not None
+        self.other = own or self.named
+        self.head = self.named and HEADER.search(names) is not None
         self.main = 3 if tag == "main" or role == "main" else 2 if tag == "article" or (attrs.get("itemprop") or "").lower() == "articlebody" or role == "article" else 1 if tag in ("div", "section", "td") and MAIN.search(names) else 0
 
 
@@ -156,10 +162,10 @@ class Wrapper:
     ``seen``: at the root, the least hashes of different pages, ``FIXED_PAGES`` of them at most.
     """
 
-    __slots__ = ("sig", "pages", "most", "fixed", "always", "chars", "links", "kids", "other", "seen")
+    __slots__ = ("sig", "pages", "most", "fixed", "always", "chars", "links", "kids", "other", "named", "seen")
 
-    def __init__(self, sig: str, other: bool = False):
-        self.sig, self.pages, self.most, self.fixed, self.always, self.chars, self.links, self.kids, self.other, self.seen = sig, 1, 1, {}, True, 0, 0, [], other, frozenset()
+    def __init__(self, sig: str, other: bool = False, named: bool = False):
+        self.sig, self.pages, self.most, self.fixed, self.always, self.chars, self.links, self.kids, self.other, self.named, self.seen = sig, 1, 1, {}, True, 0, 0, [], other, named, frozenset()
 
     def __getstate__(self):
         return tuple(getattr(self, k) for k in self.__slots__)
@@ -187,8 +193,8 @@ def _shape(w: Wrapper) -> tuple:
 
 def wrapper_of(node: Node, at: int) -> Wrapper:
     """The wrapper of one element in the slot ``at``; inline elements are part of their block's text slot."""
-    w = Wrapper(node.sig, node.other)
-    if node.other:
+    w = Wrapper(node.sig, node.other, node.named)
+    if node.other and not node.named:
         return w
     parts, text = [], []
     _flow(node, parts, text, w, False)
@@ -232,6 +238,7 @@ def merge(a: Wrapper, b: Wrapper, repeat: bool = False) -> None:
         both = {k.sig for k in a.kids} & {k.sig for k in b.kids}
         for k in a.kids + b.kids:
             k.always = k.always and k.sig in both
+    a.other, a.named = a.other and b.other, a.named or b.named
     a.chars, a.links = a.chars + b.chars, a.links + b.links
     at = {k.sig: i for i, k in enumerate(a.kids)}
     out, done, pending = [], 0, []
@@ -247,12 +254,15 @@ def merge(a: Wrapper, b: Wrapper, repeat: bool = False) -> None:
     a.kids = out + pending + a.kids[done:]
 
 
-def _varied(w: Wrapper, known: bool) -> float:
-    """Characters that are no link and not the same on all pages; ``known``: whether fixed texts can be told here."""
-    if w.other:
+def _varied(w: Wrapper, known: bool, named: bool = False) -> float:
+    """Characters that are no link and not the same on all pages; ``known``: whether fixed texts can be told here.
+
+    ``named``: also those of elements that only a name marks as something else.
+    """
+    if w.other and not (named and w.named):
         return 0
     same = w.pages * sum(w.fixed.values()) if known else 0
-    return max(0, w.chars - same - 2 * w.links) + sum(_varied(k, known and k.always) for k in w.kids)
+    return max(0, w.chars - same - 2 * w.links) + sum(_varied(k, known and k.always, named) for k in w.kids)
 
 
 def _chars(w: Wrapper) -> int:
@@ -264,6 +274,21 @@ def _known(w: Wrapper) -> bool:
     return len(w.seen) >= FIXED_PAGES
 
 
+def clear_names(w: Wrapper) -> list[int]:
+    """Slots of the elements whose name does not count, as they hold most of the varied text; they are cleared here."""
+    known = _known(w)
+    total, at, out = _varied(w, known, True), ROOT, []
+    while total:
+        most, best = max(((_varied(k, known and k.always, True), k) for k in w.kids), key=lambda x: (x[0], x[1].sig), default=(0, None))
+        if best is None or 2 * most <= total:
+            break
+        w, known, at = best, known and best.always, _hash(best.sig, at)
+        if w.named:
+            w.other = w.named = False
+            out.append(at)
+    return out
+
+
 def main_path(w: Wrapper) -> tuple[str, ...]:
     """Signatures from the root to the smallest subtree with nine tenths of the varied text."""
     known, path = _known(w), []
@@ -310,6 +335,10 @@ def _blocks(node: Node, at: int, fixed: frozenset, out: list[str], heads_only: b
                     held.append(k)
                     if not k.isspace():
                         slots.add(at)
+            elif k.head and k.other and k.tag not in INLINE:
+                flush()
+                walk(k, True, 0)
+                flush()
             elif k.other:
                 if k.tag not in INLINE:
                     flush()
@@ -352,10 +381,59 @@ def _mains(root: Node) -> list[tuple[Node, int]]:
     return []
 
 
-def main_text(root: Node, wrapper: tuple[tuple[str, ...], frozenset] | None = None) -> str:
-    """Blocks of the main text joined by \\n; ``wrapper`` is (main path, fixed texts) of the page's host."""
+def _own_chars(node: Node) -> int:
+    """Characters of text that is no link, in what is no other element."""
+    return sum(len(tidy(k)) if isinstance(k, str) else 0 if k.other or k.tag == "a" else _own_chars(k) for k in node.kids)
+
+
+def _clear(root: Node, clear: frozenset) -> None:
+    """Names that do not count: of the slots ``clear``, and of what holds the page's only main elements or articles.
+
+    In a page whose main elements hold a tenth of their text outside such names, the names count.
+    """
+    mains = [n for n, _ in _mains(root) if n.main > 1] if clear else []
+    if clear and 10 * sum(map(_own_chars, mains)) <= sum(_own_text(k) for n in mains for k in _reachable(n)):
+        stack = [(root, ROOT)]
+        while stack:
+            n, at = stack.pop()
+            if n.named and at in clear:
+                n.named = n.other = False
+            stack += [(k, at if k.tag in INLINE and not k.other else _hash(k.sig, at)) for k in n.kids if isinstance(k, Node)]
+    while not any(n.main > 1 for n, _ in _mains(root)):
+        found, stack = [], [root]
+        while stack:
+            n = stack.pop()
+            if n.named:
+                if any(k.main > 1 for k in _reachable(n)):
+                    found.append(n)
+            elif not n.other:
+                stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
+        best = max(found, key=lambda n: sum(map(_own_text, _reachable(n))), default=None)
+        if best is None or sum(map(_own_text, _reachable(best))) < _own_chars(root):
+            return
+        for n in found:
+            if n is best or n.main > 1 and best.main > 1 and n.sig == best.sig:
+                n.named = n.other = False
+
+
+def _own_text(node: Node) -> int:
+    return 0 if node.tag == "a" else sum(len(tidy(k)) for k in node.kids if isinstance(k, str))
+
+
+def _reachable(node: Node):
+    """An element and all below it but what is another element by more than its name."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack += [k for k in n.kids if isinstance(k, Node) and (k.named or not k.other)]
+
+
+def main_text(root: Node, wrapper: tuple | None = None) -> str:
+    """Blocks of the main text joined by \\n; ``wrapper`` is (main path, fixed texts, slots of names that do not count)."""
     out: list[str] = []
-    path, fixed = wrapper or ((), frozenset())
+    path, fixed, clear = wrapper or ((), frozenset(), frozenset())
+    _clear(root, clear)
     nodes = _mains(root)
     if nodes:
         path = ()
@@ -424,7 +502,7 @@ def _merged(key, batches):
 
 
 def infer_wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """(host, path, fixed): what the wrapper of each host says, from all its pages."""
+    """(host, path, fixed, clear): what the wrapper of each host says, from all its pages."""
     partial = pages.select(host_of("url").alias("host"), "html").mapInArrow(_own_wrappers, "host string, wrapper binary")
 
     def some(key, batches):
@@ -433,10 +511,11 @@ def infer_wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
 
     def last(key, batches):
         for w in _merged(key, batches):
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([list(main_path(w))], pa.list_(pa.string())), pa.array([sorted(fixed_texts(w))], pa.list_(pa.int64()))], ["host", "path", "fixed"])
+            clear = clear_names(w)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([list(main_path(w))], pa.list_(pa.string())), pa.array([sorted(fixed_texts(w))], pa.list_(pa.int64())), pa.array([clear], pa.list_(pa.int64()))], ["host", "path", "fixed", "clear"])
 
     first = _grouped(partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))), ["host", "salt"], some, "host string, wrapper binary")
-    return _grouped(first, ["host"], last, "host string, path array<string>, fixed array<long>")
+    return _grouped(first, ["host"], last, "host string, path array<string>, fixed array<long>, clear array<long>")
 
 
 def _grouped(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
@@ -455,11 +534,11 @@ def extract_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
     """
     spark = pages.sparkSession
     wrappers = cut(infer_wrappers(pages), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("fixed") + F.length(F.concat_ws(" ", "path")) + 64), F.lit(0))).first()[0]
+    size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("fixed") + 8 * F.size("clear") + F.length(F.concat_ws(" ", "path")) + 64), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"))
     shared = None
     if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast({r["host"]: (tuple(r["path"]), frozenset(r["fixed"])) for r in wrappers.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r["host"]: (tuple(r["path"]), frozenset(r["fixed"]), frozenset(r["clear"])) for r in wrappers.toLocalIterator()})
     else:
         rows = rows.join(wrappers, "host", "left")
 
@@ -468,7 +547,7 @@ def extract_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
             if shared is not None:
                 own = [shared.value.get(h) for h in batch.column("host").to_pylist()]
             else:
-                own = [None if p is None else (tuple(p), frozenset(f)) for p, f in zip(batch.column("path").to_pylist(), batch.column("fixed").to_pylist())]
+                own = [None if p is None else (tuple(p), frozenset(f), frozenset(c)) for p, f, c in zip(*(batch.column(k).to_pylist() for k in ("path", "fixed", "clear")))]
             texts = [main_text(parse(h or ""), w) for h, w in zip(batch.column("html").to_pylist(), own)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -83,3 +83,23 @@ def test_pipeline_drops_near_copies(spark):
         assert Counter(map(tuple, near_text.keep_one(df, broadcast_rows=n).collect())) == want
     assert Counter(map(tuple, corpus_pipeline.drop_near_copies(spark, df, "").collect())) == want
     assert near_text.keep_one(df.limit(0)).count() == 0
+
+
+def test_html_names_do_not_drop_the_main_text(spark):
+    word = lambda i: f"Own text of page {i}, " + "long " * 20
+    shapes = {
+        "a": '<body><div class="layout with-sidebar"><article><h1>T{0}</h1><p>{1}</p></article><div class="sidebar">side</div></div></body>',
+        "b": '<body><div id="page" class="no-comments"><h1>T{0}</h1><p>{1}</p></div><div class="comments">few</div></body>',
+        "c": '<body><article class="post category-search"><h1>T{0}</h1><p>{1}</p></article><article class="teaser"><p>x</p></article></body>',
+        "d": '<body><article><div class="post-header"><h1>T{0}</h1>by me</div><p>{1}</p><div class="share">share</div></article></body>',
+        "e": '<body><article><h1>T{0}</h1><p>{1}</p><div class="comments"><p>nice</p></div></article><div class="related"><article><p>other story</p></article></div></body>',
+    }
+    rows = [(100 * k + i, f"http://{h}.x/y", page.format(i, word(i))) for k, (h, page) in enumerate(shapes.items()) for i in range(10)]
+    got = texts(spark, rows)
+    assert got == {n: f"T{n % 100}\n{word(n % 100).strip()}" for n, _, _ in rows}
+
+
+def test_html_long_comments_stay_out_of_an_article(spark):
+    page = '<body><article><h1>T{0}</h1><p>Own text of page {0}</p><div class="comments"><p>{1}</p></div></article></body>'
+    got = texts(spark, [(i, "http://talk.x/y", page.format(i, f"comment {i} and more " * 5)) for i in range(10)])
+    assert got == {i: f"T{i}\nOwn text of page {i}" for i in range(10)}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .common import texts_of
 
-#: Share of an item's characters that may be edited; items shorter than this match by chance and so match nothing.
+#: Share of an item's characters that may be edited; items shorter than this match exactly, on word borders, or else by chance.
 ERROR_RATE, MIN_ITEM_CHARS = 0.1, 20
 #: Characters of the items that one automaton holds at most (one longer item is a block of its own).
 BLOCK_CHARS = 4_000_000
@@ -70,16 +70,21 @@ class Pattern:
         return best, end
 
 
+def _joined(text: str, at: int) -> bool:
+    """Whether a word goes on over this place."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
 class Items:
     """A block of items; built in the tasks, since the automaton is larger than the items."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
         import ahocorasick
 
-        self.items, found = [], defaultdict(list)
+        self.items, self.min_chars, found = [], min_chars, defaultdict(list)
         self.patterns: dict[tuple[int, int, int], Pattern] = {}
         for item_id, text in items:
-            budget = int(len(text) * error_rate)
+            budget = int(len(text) * error_rate) if len(text) >= min_chars else 0
             parts = pieces(text, budget)
             for k, (_, piece) in enumerate(parts):
                 found[piece].append((len(self.items), k))
@@ -116,7 +121,10 @@ class Items:
         for end, (size, places) in self.automaton.iter(text):
             start = end - size + 1
             for number, piece in places:
-                if self.likely(text, start, number, piece):
+                if size < self.min_chars and len(self.items[number][1]) < self.min_chars:  # a short item as a whole
+                    if not (_joined(text, start) or _joined(text, end + 1)):
+                        windows[number].append(start)
+                elif self.likely(text, start, number, piece):
                     windows[number].append(start - self.items[number][3][piece])
         out = []
         for number, at in windows.items():
@@ -177,12 +185,12 @@ def _spans(text: str, found: list[tuple[int, int, int, int]]) -> list[tuple[int,
     return [(place(s), place(e - 1) + 1) for _, _, s, e in found]
 
 
-def _blocks(benchmark: DataFrame, min_chars: int, block_chars: int):
+def _blocks(benchmark: DataFrame, block_chars: int):
     """The searchable items in blocks; read one by one, so the driver holds one block."""
     block, held = [], 0
     for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
         text = normalise(r["text"])
-        if len(text) >= min_chars:
+        if text:
             if block and held + len(text) > block_chars:
                 yield block
                 block, held = [], 0
@@ -195,13 +203,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     """One row per document row and item found in it: doc_id, item_id, distance, budget, start_char, end_char.
 
     The span is that of the closest passage, in code points of the text as it is.  Null and empty texts hold nothing;
-    items that are null, have no id or are shorter than ``min_item_chars`` are not searched; items that repeat are
-    found once each.  Rows that repeat, or have no doc_id, are documents of their own.  Empty tables give no rows;
+    items that are null, blank or have no id are not searched, and those shorter than ``min_item_chars`` match exactly, on
+    word borders.  Items that repeat are found once each.  Rows that repeat, or have no doc_id, are documents of their own.  Empty tables give no rows;
     other columns, whatever their names, are ignored.
     """
     out = None
-    for block in _blocks(benchmark, min_item_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast((block, error_rate))  # at most block_chars, or one item
+    for block in _blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast((block, error_rate, min_item_chars))  # at most block_chars, or one item
 
         def run(batches, shared=shared):
             items = Items(*shared.value)
@@ -222,8 +230,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_item_chars: int = MIN_ITEM_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns unchanged; one pass a block, without a join."""
-    for block in _blocks(benchmark, min_item_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast((block, error_rate))
+    for block in _blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast((block, error_rate, min_item_chars))
 
         def run(batches, shared=shared):
             items = Items(*shared.value)

@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 
-from groundling.llm import html_text, near_text, neardup_vectors
+from groundling.llm import decontaminate, html_text, near_text, neardup_vectors
 
 
 def texts(spark, rows):
@@ -103,3 +103,12 @@ def test_html_long_comments_stay_out_of_an_article(spark):
     page = '<body><article><h1>T{0}</h1><p>Own text of page {0}</p><div class="comments"><p>{1}</p></div></article></body>'
     got = texts(spark, [(i, "http://talk.x/y", page.format(i, f"comment {i} and more " * 5)) for i in range(10)])
     assert got == {i: f"T{i}\nOwn text of page {i}" for i in range(10)}
+
+
+def test_short_benchmark_items_match_exactly(spark):
+    bench = spark.createDataFrame([(1, "Blue whale"), (2, "42"), (3, " "), (4, "4" * 30)], "item_id long, text string")
+    rows = [(1, "the BLUE \n whale."), (2, "blue whales"), (3, "bluewhale, 421 and 142"), (4, "(42)"), (5, "blve whale"), (6, None), (7, "a42 blue whale 42")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["distance"], r["budget"], dict(rows)[r["doc_id"]][r["start_char"] : r["end_char"]]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert found == {(1, 1, 0, 0, "BLUE \n whale"), (4, 2, 0, 0, "42"), (7, 1, 0, 0, "blue whale"), (7, 2, 0, 0, "42")}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {2, 3, 5, 6}

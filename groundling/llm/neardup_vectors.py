@@ -6,12 +6,13 @@ met is counted over all tables; pairs that met at least ``MEETINGS`` times are v
 of coarse lines follows from the number of vectors, and the number of tables is the least whose binomial tail gives a
 pair at the threshold the wanted recall.
 
-Copies collapse to one representative first.  In a crowd each place pairs with the nearest ``REACH`` others of its window
-only; pairs further apart in the order are between vectors with more than ``REACH`` others in their window.  Where such
-vectors of one cell are in several of the components found so far, all pairs of them that would join two components are
-compared exactly, in tiles, so that no meeting of the whole window is lost.  All links inside a component are then counted
-exactly, in tiles of two blocks of its members, so that no task holds a group, and a large group yields a row per vector
-and block, never its pairs.
+Copies collapse to one representative first.  No window is cut short.  Pairs up to ``SPARSE`` places apart are told one
+by one.  A vector whose window goes on beyond that is in a crowd: all crowded vectors of a cell that are in different
+components are compared exactly, in tiles of two blocks over many tasks, which is more than their windows ask for, so
+the calculated recall holds in a crowd, too.  All links inside a component are then counted exactly, again in tiles, so
+that no task holds a group, and a large group yields a row per vector and block, never its pairs.  A large component is
+cut into strips by the distance from one of its members: vectors further apart than two neighbouring strips reach have
+no link, so their tiles are left out.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
-THRESHOLD, RECALL, MEETINGS, REACH, BLOCK, CROWD_BLOCK = 0.98, 0.9999, 2, 24, 512, 2048
+THRESHOLD, RECALL, MEETINGS, SPARSE = 0.98, 0.9999, 2, 24
+#: Vectors of a block: at most so many on average, and at least so many if there are fewer blocks than ``SPREAD``.
+BLOCK, LEAST_BLOCK, SPREAD = 4096, 256, 16
 #: Cell width and window half-width, in units of a unit vector's spread along a line.
 CELL, WINDOW, SEED = 2.0, 0.6, 20240917
 
@@ -51,36 +55,46 @@ def calibrate(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> t
 
 
 def _valid(batches):
-    """Rows with their key: 16 bytes of a hash over label and components; null for vectors that link with nothing."""
+    """Rows with their unit vector, and a key: 16 bytes of a hash over label and components; both null for vectors that link with nothing."""
     for batch in batches:
-        keys = []
-        for label, v in zip(batch.column("label").to_pylist(), batch.column("embedding").to_pylist()):
-            ok = label is not None and v and None not in v
-            x = np.array(v, np.float64) if ok else None
-            ok = ok and np.isfinite(x).all() and x.any()
-            keys.append(hashlib.blake2b(repr(label).encode() + b"|" + (x + 0.0).tobytes(), digest_size=16).digest() if ok else None)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "label", "embedding")), pa.array(keys, pa.binary())], ["vec_id", "label", "embedding", "key"])
-
-
-def _units(column: pa.Array) -> np.ndarray:
-    """Unit vectors in double precision; all rows of ``column`` have one length."""
-    x = np.array(column.to_pylist(), np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+        column, labels = batch.column("embedding"), batch.column("label")
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+        flat = pc.fill_null(column.flatten(), math.nan).to_numpy()  # a null list has no values here
+        ends = np.cumsum(sizes)
+        units: list[bytes | None] = [None] * len(sizes)
+        keys: list[bytes | None] = [None] * len(sizes)
+        names = labels.to_pylist()
+        for dim in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero((sizes == dim) & labels.is_valid().to_numpy(zero_copy_only=False))
+            x = flat[(ends[rows] - dim)[:, None] + np.arange(dim)] + 0.0
+            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            rows, x = rows[ok], np.ascontiguousarray(x[ok])
+            u = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
+            u /= np.linalg.norm(u, axis=1, keepdims=True)
+            for i, own, unit in zip(rows.tolist(), x, u):
+                keys[i] = hashlib.blake2b(b"%d|" % names[i] + own.tobytes(), digest_size=16).digest()
+                units[i] = unit.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), labels, pa.array(units, pa.binary()), pa.array(keys, pa.binary())], ["vec_id", "label", "unit", "key"])
+
+
+def _units(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """The unit vectors of a column of one length, a row each."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), dim or (len(raw[0]) // 8 if raw else 1))
 
 
 def _places(lines: int, tables: int):
     def run(batches):
         made: dict[int, tuple] = {}
         for batch in batches:
-            sizes = np.array(batch.column("dim").to_pylist())
+            sizes = batch.column("dim").to_numpy()
             for dim in np.unique(sizes).tolist():
                 if dim not in made:
                     rng = np.random.default_rng([SEED, dim])
                     made[dim] = rng.standard_normal((dim, tables * (lines + 1))), rng.uniform(0, CELL, tables * lines), rng.integers(1, 1 << 63, (tables, lines), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
                 a, shift, mix = made[dim]
                 own = batch.filter(pa.array(sizes == dim))
-                y = _units(own.column("embedding")) @ a
+                y = _units(own.column("unit"), dim) @ a
                 n = len(y)
                 cell = np.floor((y[:, : tables * lines] + shift) / CELL).astype(np.int64).astype(np.uint64).reshape(n, tables, lines)
                 with np.errstate(over="ignore"):
@@ -96,7 +110,7 @@ def _places(lines: int, tables: int):
 
 
 def _meetings(batches):
-    """Rows come sorted by (label, dim, t, cell, at): pairs of each with the next ``REACH`` rows of its cell and window.
+    """Rows come sorted by (label, dim, t, cell, at): pairs of each with the next ``SPARSE`` rows of its cell and window.
 
     A row whose window goes on beyond them, either way, is told as crowded in that table and cell, as a pair of itself.
     """
@@ -108,20 +122,20 @@ def _meetings(batches):
         cols = [batch.column(c).to_numpy() for c in ("label", "dim", "t", "cell")]
         at, ids = batch.column("at").to_numpy(), batch.column("id").to_numpy()
         a, b, t, cell = [], [], [], []
-        for k in range(1, min(REACH + 1, len(at) - 1) + 1):
+        for k in range(1, min(SPARSE + 1, len(at) - 1) + 1):
             near = at[k:] - at[:-k] <= WINDOW
             for c in cols:
                 near &= c[k:] == c[:-k]
             left = np.flatnonzero(near)
             left = left[left + k >= new]  # the others were seen with the batch before
-            if k <= REACH:
+            if k <= SPARSE:
                 a.append(ids[left]), b.append(ids[left + k])
                 t.append(np.full(len(left), -1)), cell.append(np.zeros(len(left), np.int64))
             else:
                 left = np.unique(np.concatenate([left, left + k]))
                 a.append(ids[left]), b.append(ids[left])
                 t.append(cols[2][left]), cell.append(cols[3][left])
-        held = batch.slice(max(0, batch.num_rows - REACH - 1))
+        held = batch.slice(max(0, batch.num_rows - SPARSE - 1))
         if a:
             a, b, t, cell = map(np.concatenate, (a, b, t, cell))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(t, pa.int32()), pa.array(cell)], ["a", "b", "t", "cell"])
@@ -130,14 +144,11 @@ def _meetings(batches):
 def _verified(threshold: float):
     def run(batches):
         for batch in batches:
-            ok = np.array([len(x) == len(y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], bool)
-            batch = batch.filter(pa.array(ok, pa.bool_()))
-            if batch.num_rows:
-                sizes = np.array(batch.column("dim").to_pylist())
-                for dim in np.unique(sizes):
-                    own = batch.filter(pa.array(sizes == dim))
-                    near = (_units(own.column("x")) * _units(own.column("y"))).sum(axis=1) >= threshold
-                    yield own.select(["a", "b"]).filter(pa.array(near))
+            sizes = batch.column("dim").to_numpy()
+            for dim in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == dim))
+                near = (_units(own.column("x"), dim) * _units(own.column("y"), dim)).sum(axis=1) >= threshold
+                yield own.select(["a", "b"]).filter(pa.array(near))
 
     return run
 
@@ -183,7 +194,7 @@ def _joins(threshold: float):
                         yield done
                     key, held = marks[start][:-1], {}
                 part = batch.slice(start, end - start)
-                held.setdefault(marks[start][-1], []).append((_units(part.column("embedding")), part.column("rep").to_numpy()))
+                held.setdefault(marks[start][-1], []).append((_units(part.column("unit")), part.column("rep").to_numpy()))
                 start = end
         if (done := close()) is not None:
             yield done
@@ -191,10 +202,13 @@ def _joins(threshold: float):
     return run
 
 
-def _tiles(key: str, blocks: str, members: DataFrame) -> DataFrame:
-    """``members`` once for each tile of two of their group's ``blocks``: i <= j, and role 1 for the second block."""
-    members = members.withColumn("b", F.pmod(F.xxhash64(key), F.col(blocks).cast("long")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
-    return members.select("*", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), (F.col("k") < F.col("b")).cast("int").alias("role"))
+def _blocks(n) -> Column:
+    """How many blocks ``n`` vectors make."""
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.lit(SPREAD), F.ceil(n / LEAST_BLOCK))).cast("int")
+
+
+def _block_of(key: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.col(blocks).cast("long")).cast("int")
 
 
 def _joined(groups: DataFrame, crowded: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -202,11 +216,12 @@ def _joined(groups: DataFrame, crowded: DataFrame, reps: DataFrame, threshold: f
     cells = ["label", "dim", "t", "cell"]
     named = crowded.join(groups.select(F.col("node").alias("id"), "rep"), "id", "left").join(reps.select("id", "label", "dim"), "id")
     named = cut(named.select(*cells, "id", F.coalesce("rep", "id").alias("rep")), "crowded")
-    mixed = named.groupBy(*cells).agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.ceil(F.count(F.lit(1)) / CROWD_BLOCK).cast("int").alias("blocks")).where("x < y")
+    mixed = named.groupBy(*cells).agg(F.min("rep").alias("x"), F.max("rep").alias("y"), _blocks(F.count(F.lit(1))).alias("blocks")).where("x < y")
     mixed = cut(named.join(mixed.select(*cells, "blocks"), cells), "mixed")
     if mixed.isEmpty():
         return groups
-    tiles = _tiles("id", "blocks", mixed.join(reps.select("id", "embedding"), "id")).select(*cells, "i", "j", "role", "rep", "embedding")
+    tiles = mixed.join(reps.select("id", "unit"), "id").withColumn("b", _block_of("id", "blocks")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select(*cells, F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), (F.col("k") < F.col("b")).cast("int").alias("role"), "rep", "unit")
     tiles = tiles.repartition(*cells, "i", "j").sortWithinPartitions(*cells, "i", "j", "role")
     joins = cut(tiles.mapInArrow(_joins(threshold), "a long, b long").distinct(), "joins")
     if joins.isEmpty():
@@ -214,8 +229,54 @@ def _joined(groups: DataFrame, crowded: DataFrame, reps: DataFrame, threshold: f
     return cut(connected_components(groups.select(F.col("node").alias("a"), F.col("rep").alias("b")).where("a <> b").union(joins)), "joined")
 
 
+def _chord(threshold: float) -> float:
+    """The greatest distance of two unit vectors that link, and a little more."""
+    return math.sqrt(max(2 - 2 * threshold, 0.0)) + 1e-6
+
+
+def _strips(width: float):
+    def run(batches):
+        for batch in batches:
+            sizes, strip = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int32)
+            far = batch.column("anchor").is_valid().to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes[far]).tolist():
+                rows = np.flatnonzero(far & (sizes == dim))
+                own = batch.take(pa.array(rows))
+                strip[rows] = np.linalg.norm(_units(own.column("unit"), dim) - _units(own.column("anchor"), dim), axis=1) / width
+            names = ["rep", "id", "unit", "copies"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(strip)], [*names, "strip"])
+
+    return run
+
+
+def _dealt(members: DataFrame, threshold: float) -> DataFrame:
+    """``members(rep, id, dim, unit, copies)`` once for each tile of two blocks that may hold links.
+
+    A component of more than ``BLOCK`` members has strips as wide as two linked vectors are apart at most, by the
+    distance from its first member, which differs by no more than the vectors do: links are within a strip or between
+    neighbours.  A tile is (rep, strip, side, i, j): block i of the strip and block j of it (side 0) or the next (1).
+    """
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    anchors = sizes.where(F.col("n") > BLOCK).join(members.select(F.col("id").alias("first"), F.col("unit").alias("anchor")), "first").select("rep", "anchor")
+    placed = members.join(anchors, "rep", "left").select("rep", "id", "dim", "unit", "copies", "anchor").mapInArrow(_strips(_chord(threshold)), "rep long, id long, unit binary, copies long, strip int")
+    placed = cut(placed, "strips")
+    held = cut(placed.groupBy("rep", "strip").agg(_blocks(F.count(F.lit(1))).alias("blocks")), "strip-sizes")
+    other = lambda by, name: held.select("rep", (F.col("strip") + by).alias("strip"), F.col("blocks").alias(name))
+    held = held.join(other(1, "before"), ["rep", "strip"], "left").join(other(-1, "after"), ["rep", "strip"], "left")
+    rows = placed.join(held, ["rep", "strip"]).withColumn("b", _block_of("id", "blocks"))
+    b, each = F.col("b"), lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    tile = lambda strip, side, i, j, role: F.struct(strip.cast("int").alias("strip"), F.lit(side).alias("side"), i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("int").alias("role"))
+    none = F.array().cast("array<struct<strip:int,side:int,i:int,j:int,role:int>>")
+    own = each("blocks", lambda k: tile(F.col("strip"), 0, F.least(b, k), F.greatest(b, k), k < b))
+    up = F.coalesce(each("after", lambda k: tile(F.col("strip"), 1, b, k, F.lit(0))), none)
+    down = F.coalesce(each("before", lambda k: tile(F.col("strip") - 1, 1, k, b, F.lit(1))), none)
+    rows = rows.select("rep", F.explode(F.concat(own, up, down)).alias("tile"), "id", "unit", "copies").select("rep", "tile.*", "id", "unit", "copies")
+    keys = ["rep", "strip", "side", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "role", "id")
+
+
 def _tile_links(threshold: float):
-    """Links between the two blocks of a tile, counted for the members of both; rows come sorted by (rep, i, j, role, id)."""
+    """Links between the two blocks of a tile, counted for the members of both; rows come sorted by (tile, role, id)."""
 
     def run(batches):
         key, held = None, {}
@@ -223,31 +284,35 @@ def _tile_links(threshold: float):
         def close():
             if key is None or 0 not in held:
                 return None
-            ids, x, copies = held[0]
-            if key[1] == key[2]:  # a block with itself
-                near = x @ x.T >= threshold
-                np.fill_diagonal(near, False)
-                n = near @ copies
-            else:
-                other, y, more = held[1]
-                near = x @ y.T >= threshold
-                ids, n = np.concatenate([ids, other]), np.concatenate([near @ more, near.T @ copies])
+            same = key[2] == 0 and key[3] == key[4]
+            ids, x, copies = (np.concatenate(k) for k in zip(*held[0]))
+            if not same and 1 not in held:
+                return None
+            other, y, more = (ids, x, copies) if same else (np.concatenate(k) for k in zip(*held[1]))
+            n, m = np.zeros(len(ids), np.int64), np.zeros(len(other), np.int64)
+            for k in range(0, len(x), 512):
+                near = x[k : k + 512] @ y.T >= threshold
+                if same:
+                    near[np.arange(len(near)), k + np.arange(len(near))] = False
+                n[k : k + 512] = near @ more
+                if not same:
+                    m += copies[k : k + 512] @ near
+            if not same:
+                ids, n = np.concatenate([ids, other]), np.concatenate([n, m])
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
 
         for batch in batches:
-            marks = list(zip(*(batch.column(c).to_pylist() for c in ("rep", "i", "j", "role"))))
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("rep", "strip", "side", "i", "j", "role"))))
             start = 0
             for end in range(1, len(marks) + 1):
                 if end < len(marks) and marks[end] == marks[start]:
                     continue
-                if marks[start][:3] != key:
+                if marks[start][:5] != key:
                     if (done := close()) is not None:
                         yield done
-                    key, held = marks[start][:3], {}
+                    key, held = marks[start][:5], {}
                 part = batch.slice(start, end - start)
-                own = part.column("id").to_numpy(), _units(part.column("embedding")), part.column("copies").to_numpy()
-                was = held.get(marks[start][3])
-                held[marks[start][3]] = own if was is None else tuple(np.concatenate(x) for x in zip(was, own))
+                held.setdefault(marks[start][5], []).append((part.column("id").to_numpy(), _units(part.column("unit")), part.column("copies").to_numpy()))
                 start = end
         if (done := close()) is not None:
             yield done
@@ -264,29 +329,26 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     rows; other columns, whatever their names, are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = cut(rows.mapInArrow(_valid, "vec_id long, label long, embedding array<double>, key binary"), "vectors")
+    rows = cut(rows.mapInArrow(_valid, "vec_id long, label long, unit binary, key binary"), "vectors")
     # a representative has a number of its own: the part and place where its group was written
-    reps = rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
-    reps = cut(reps.select(F.monotonically_increasing_id().alias("id"), "*", F.size("embedding").alias("dim")), "representatives")
+    reps = rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    reps = cut(reps.select(F.monotonically_increasing_id().alias("id"), "*", F.floor(F.octet_length("unit") / 8).cast("int").alias("dim")), "representatives")
     largest = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     lines, tables = calibrate(largest, threshold, recall)
 
-    places = reps.select("id", "label", "dim", "embedding").mapInArrow(_places(lines, tables), "label long, dim int, t int, cell long, at double, id long")
+    places = reps.select("id", "label", "dim", "unit").mapInArrow(_places(lines, tables), "label long, dim int, t int, cell long, at double, id long")
     order = ["label", "dim", "t", "cell"]
     met = places.repartition(*order).sortWithinPartitions(*order, "at", "id").mapInArrow(_meetings, "a long, b long, t int, cell long")
     met = cut(met.groupBy("a", "b", "t", "cell").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= MEETINGS) | (F.col("t") >= 0)).drop("n"), "pairs")
     pairs = met.where("t < 0").select("a", "b")
-    x = reps.select(F.col("id").alias("a"), F.col("embedding").alias("x"), "dim")
-    y = reps.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
+    x = reps.select(F.col("id").alias("a"), F.col("unit").alias("x"), "dim")
+    y = reps.select(F.col("id").alias("b"), F.col("unit").alias("y"))
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "dim", "x", "y").mapInArrow(_verified(threshold), "a long, b long")
     groups = cut(connected_components(links), "groups")
     groups = _joined(groups, met.where("t >= 0").select(F.col("a").alias("id"), "t", "cell"), reps, threshold)
 
-    members = groups.select(F.col("node").alias("id"), "rep").join(reps.select("id", "embedding", "copies"), "id")
-    sizes = groups.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = cut(members.join(sizes, "rep"), "members")
-    dealt = _tiles("id", "blocks", members).select("rep", "i", "j", "role", "id", "embedding", "copies").repartition("rep", "i", "j").sortWithinPartitions("rep", "i", "j", "role", "id")
-    counted = dealt.mapInArrow(_tile_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    members = cut(groups.select(F.col("node").alias("id"), "rep").join(reps.select("id", "dim", "unit", "copies"), "id"), "members")
+    counted = _dealt(members, threshold).mapInArrow(_tile_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
     named = reps.select("id", "key", "copies", "least").join(groups.select(F.col("node").alias("id"), "rep"), "id", "left").join(counted, "id", "left")
     named = cut(named.select("key", "copies", "least", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(0)).alias("n")), "named")

@@ -111,11 +111,12 @@ def test_near_vectors(spark):
     rows = [(i, (c + 0.12 * rng.standard_normal(8)).tolist(), 1) for i in range(60)] + [(100 + i, rng.standard_normal(8).tolist(), i % 2) for i in range(60)]
     rows += [(200, rows[0][1], 1), (201, rows[0][1], 2), (202, rows[0][1], None), (203, None, 1), (204, [], 1), (205, [0.0] * 8, 1), (206, [math.nan] + [1.0] * 7, 1), (207, [None] + [1.0] * 7, 1), (208, [1e300] * 8, 1), (209, [2e300] * 8, 1), (210, [1.0, 2.0], 1), (211, [2.0, 4.0], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, key string")
-    old, neardup_vectors.BLOCK = neardup_vectors.BLOCK, 16
+    old = neardup_vectors.BLOCK, neardup_vectors.LEAST_BLOCK
+    neardup_vectors.BLOCK, neardup_vectors.LEAST_BLOCK = 16, 4
     try:
         got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup_vectors.near_vectors(df).collect()}
     finally:
-        neardup_vectors.BLOCK = old
+        neardup_vectors.BLOCK, neardup_vectors.LEAST_BLOCK = old
     def ok(v, label):
         return label is not None and v and None not in v and all(map(math.isfinite, v)) and any(v)
     def unit(v):

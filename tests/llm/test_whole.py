@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import math
 import random
 from collections import Counter
 
@@ -55,6 +56,33 @@ def test_near_vectors_of_a_crowd(spark):
     assert {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))} == got
 
 
+def test_near_vectors_recall_of_lone_pairs_in_crowds(spark):
+    """Pairs just above the threshold inside crowds without any other link, at three densities."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def apart(x, cosine):
+        """Unit vectors at this cosine to the rows of ``x``."""
+        y = rng.standard_normal(x.shape)
+        y = unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+        return cosine * x + math.sqrt(1 - cosine * cosine) * y
+
+    rows, pairs = [], {}
+    for label, cosine in ((1, 0.96), (2, 0.9), (3, 0.8)):
+        crowd = apart(np.repeat(unit(rng.standard_normal((1, 64))), 2500, axis=0), cosine)
+        other = apart(crowd[:100], 0.981)
+        at = len(rows)
+        rows += [(at + i, v, label) for i, v in enumerate([*crowd.tolist(), *other.tolist()])]
+        x = np.concatenate([crowd, other])
+        near = np.argwhere(np.triu(x @ x.T >= 0.98, 1)) + at
+        pairs |= {(a, b): label for a, b in near.tolist()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for label in (1, 2, 3):
+        own = [p for p, k in pairs.items() if k == label]
+        assert len(own) >= 100 and sum(got[a][1] == got[b][1] for a, b in own) >= 0.99 * len(own)
+    assert sum(n for n, _ in got.values()) <= 2 * len(pairs)
+
+
 def test_pipeline_drops_near_copies(spark):
     """Against brute force over the shingle sets, and through the pipeline's stage."""
     rng = random.Random(9)

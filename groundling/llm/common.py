@@ -23,6 +23,30 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+#: Bytes of an Arrow batch: a worker and the machine that feeds it hold little, however long the texts.
+BATCH_BYTES, _DEFAULT_BATCH = 4 << 20, "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends batches of at most ``BATCH_BYTES`` or one row, unless it has another bound than Spark's default."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == _DEFAULT_BATCH:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Like ``names``, but none that a column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        k = 0
+        while f"_{n}{k}" in taken:
+            k += 1
+        out.append(f"_{n}{k}")
+    return out
+
+
 # ---------------------------------------------------------------- tokenizer
 
 #: Entries of a worker's memo, in two generations: a full young one takes the old one's place, and what is used again moves over.

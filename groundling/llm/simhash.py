@@ -1,11 +1,14 @@
-"""SimHash near-duplicates through an inverted index over positional bytes.
+"""SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``max_bits`` bits share at least ``8 - max_bits`` of their eight
-positional bytes: the guaranteed minimum.  Tallying shared bytes pair by pair over postings of single bytes is
-quadratic (a posting holds 1/256 of all rows), so the index posts each distinct fingerprint under every choice of that
-many positions at once; a pair meets in a posting exactly when its tally reaches the minimum.  A posting of six bytes
-holds at most 2^16 distinct fingerprints whatever the input, so no group is unbounded.  Inside it pairs are verified by
-bit distance, and a spanning forest of the verified links is emitted, never all pairs.
+positional bytes: the guaranteed minimum.  Postings of single bytes would hold 1/256 of all rows, and tallies over them
+would be quadratic, so a posting is of several bytes: the positions are cut into ``max_bits + 2`` groups, of which two
+fingerprints that close share at least two, and each distinct fingerprint is posted under every two of them.  For each
+pair that meets in a posting the shared positional bytes are tallied; pairs whose tally reaches the guaranteed minimum
+are retained and verified by bit distance.  A posting of more than ``HEAVY`` fingerprints passes them on, as they
+stream by, to postings of all bytes of the guaranteed minimum, which hold at most 2^16 for two bits whatever the input,
+so no group is unbounded; there the neighbours of each fingerprint are looked up.  What goes out is a spanning forest
+of the verified links, never all pairs.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
-from .common import connected_components, cut, texts_of
+from .common import connected_components, cut, free_names, small_batches, texts_of
 
 SEED = 42
 _CHUNK = 1 << 16
+#: Fingerprints of a posting whose pairs are tallied one by one at most.
+HEAVY = 1024
 #: Ids of documents to drop that are sent to all tasks at most: 8 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -57,83 +63,135 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
 
 
-def spanning_links(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of distinct 64-bit ``values`` within ``max_bits`` bits.
+def shared_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair how many of the eight positional bytes are the same."""
+    return (np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
 
-    ``values`` come from one posting, so at most 2^16 of them; small postings compare all their rows, large ones look
-    up each value's neighbours (every flip of up to ``max_bits`` of the bits that vary) in the sorted posting.
+
+def _retained(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Places of the pairs that pass the count filter and then the bit distance."""
+    at = np.flatnonzero(shared_bytes(x, y) >= 8 - max_bits)
+    return at[np.bitwise_count(x[at] ^ y[at]) <= max_bits]
+
+
+def spanning_links(values: np.ndarray, posting: np.ndarray, max_bits: int) -> np.ndarray:
+    """Places (i, j) of a spanning forest of the pairs within ``max_bits`` bits in one of the postings.
+
+    ``values`` come sorted by their ``posting`` number and then by value.
     """
-    values = np.unique(values.astype(np.uint64))
-    n = len(values)
-    if n <= 256:
-        i, j = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= max_bits, 1))
-        pairs = [np.stack([i, j], 1)]
-    else:
-        varying = int(np.bitwise_or.reduce(values ^ values[0]))
-        free = [b for b in range(64) if varying >> b & 1]
-        pairs = []
-        for k in range(1, max_bits + 1):
-            for flips in combinations(free, k):
-                other = values ^ np.uint64(sum(1 << b for b in flips))
-                at = np.minimum(np.searchsorted(values, other), n - 1)
-                hit = np.flatnonzero((values[at] == other) & (values < other))
-                pairs.append(np.stack([hit, at[hit]], 1))
-    parent = list(range(n))
+    first = np.flatnonzero(np.concatenate([[True], posting[1:] != posting[:-1]])) if len(values) else np.zeros(0, int)
+    left = np.repeat(np.concatenate([first[1:], [len(values)]]), np.diff(np.concatenate([first, [len(values)]]))) - np.arange(len(values)) - 1 if len(values) else first
+    at, pairs = np.arange(len(values)), []
+    for k in range(1, int(left.max(initial=0)) + 1):
+        at = at[left[at] >= k]  # those that have a k-th next in their posting
+        hit = at[_retained(values[at], values[at + k], max_bits)]
+        pairs.append(np.stack([hit, hit + k], 1))
+    return _forest(np.concatenate(pairs) if pairs else np.zeros((0, 2), int))
+
+
+def neighbour_links(values: np.ndarray, max_bits: int) -> np.ndarray:
+    """The same for one large posting: every flip of up to ``max_bits`` of the bits that vary is looked up in it."""
+    varying = int(np.bitwise_or.reduce(values ^ values[0]))
+    free = [b for b in range(64) if varying >> b & 1]
+    pairs = []
+    for k in range(1, max_bits + 1):
+        for flips in combinations(free, k):
+            other = values ^ np.uint64(sum(1 << b for b in flips))
+            at = np.minimum(np.searchsorted(values, other), len(values) - 1)
+            hit = np.flatnonzero((values[at] == other) & (values < other))
+            pairs.append(np.stack([hit, at[hit]], 1))
+    return _forest(np.concatenate(pairs) if pairs else np.zeros((0, 2), int))
+
+
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    parent: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
         return x
 
     out = []
-    for i, j in np.concatenate(pairs).tolist():
+    for i, j in pairs.tolist():
         a, b = root(i), root(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
             out.append((i, j))
-    signed = values.view(np.int64).tolist()
-    return [(signed[i], signed[j]) for i, j in out]
+    return np.array(out, int).reshape(-1, 2)
+
+
+def _masks(max_bits: int, kept: int, groups: list[tuple[int, ...]]) -> list[int]:
+    """For every choice of ``kept`` of the groups of byte positions the mask of their bits, as a signed 64-bit number."""
+    out = []
+    for chosen in combinations(groups, kept):
+        m = sum(0xFF << 8 * p for g in chosen for p in g)
+        out.append(m - (1 << 64) if m >> 63 else m)
+    return out
+
 
+def position_groups(max_bits: int) -> list[tuple[int, ...]]:
+    n = min(8, max_bits + 2)
+    return [tuple(range(8 * g // n, 8 * (g + 1) // n)) for g in range(n)]
+
+
+def _postings(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(combo, bytes, fp), sorted, a posting in one task."""
+    posts = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(masks)])).alias("p"))
+    return posts.select("p.combo", "p.bytes", "fp").repartition("combo", "bytes").sortWithinPartitions("combo", "bytes", "fp")
+
+
+def _linked(max_bits: int, heavy: int | None):
+    """Rows come sorted by (combo, bytes, fp): links (a, b); fingerprints of postings above ``heavy`` go on as (a, null)."""
+
+    def rows(values, pairs, on):
+        v = values.view(np.int64)
+        b = pa.array(np.concatenate([v[pairs[:, 1]], v[on]]), mask=np.arange(len(pairs) + len(on)) >= len(pairs))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([v[pairs[:, 0]], v[on]])), b], ["a", "b"])
 
-def _posting_links(max_bits: int):
     def run(batches):
-        """Rows come sorted by (combo, bytes, fp): a posting is a run, which may go on in the next batch."""
-        held: pa.RecordBatch | None = None
+        held, going = None, None  # going: the posting whose fingerprints stream on
         for batch in batches:
             if held is not None:
                 batch = pa.concat_batches([held, batch])
             combo, key = batch.column("combo").to_numpy(), batch.column("bytes").to_numpy()
-            new = np.flatnonzero((combo[1:] != combo[:-1]) | (key[1:] != key[:-1])) + 1
-            last = int(new[-1]) if len(new) else 0
-            held = batch.slice(last)
-            if last:
-                yield _links(batch.slice(0, last), np.concatenate([[0], new]), max_bits)
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            bounds = np.concatenate([[0], np.flatnonzero((combo[1:] != combo[:-1]) | (key[1:] != key[:-1])) + 1, [len(fp)]])
+            done = bounds[-2]
+            if heavy is not None and (len(fp) - done > heavy or going == (combo[done], key[done])):
+                going, done = (combo[done], key[done]), len(fp)  # too many already, and more may come
+            held = batch.slice(done)
+            yield close(fp[:done], bounds[bounds < done], combo, key, going)
         if held is not None and held.num_rows:
-            yield _links(held, np.array([0, held.num_rows]), max_bits)
+            yield close(held.column("fp").to_numpy().view(np.uint64), np.zeros(1, int), held.column("combo").to_numpy(), held.column("bytes").to_numpy(), going)
+
+    def close(fp, starts, combo, key, going):
+        sizes = np.diff(np.concatenate([starts, [len(fp)]]))
+        number = np.repeat(np.arange(len(starts)), sizes)
+        if heavy is None:
+            pairs = []
+            for a, n in zip(starts.tolist(), sizes.tolist()):
+                if n > 1:
+                    own = fp[a : a + n]
+                    pairs.append(a + (neighbour_links(own, max_bits) if n > 256 else spanning_links(own, np.zeros(n, int), max_bits)))
+            return rows(fp, np.concatenate(pairs) if pairs else np.zeros((0, 2), int), np.zeros(0, int))
+        large = sizes > heavy
+        if going is not None:
+            large |= (combo[starts] == going[0]) & (key[starts] == going[1])
+        on = large[number]
+        light = np.flatnonzero(~on)
+        return rows(fp, light[spanning_links(fp[light], number[light], max_bits)], np.flatnonzero(on))
 
     return run
 
 
-def _links(batch: pa.RecordBatch, bounds: np.ndarray, max_bits: int) -> pa.RecordBatch:
-    fp = batch.column("fp").to_numpy()
-    out: list[tuple[int, int]] = []
-    many = np.flatnonzero(np.diff(bounds) > 1)
-    for k in many.tolist():
-        out += spanning_links(fp[bounds[k] : bounds[k + 1]], max_bits)
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-
-
-def fingerprint_components(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+def fingerprint_components(fps: DataFrame, max_bits: int = 2, heavy: int = HEAVY) -> DataFrame:
     """(fp, component_id) for each distinct ``fp`` of ``fps(doc_id, fp)``; component_id is the least doc_id reachable."""
     least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    masks = []
-    for gone in combinations(range(8), max_bits):
-        m = (1 << 64) - 1 - sum(0xFF << 8 * p for p in gone)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    posts = least.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(masks)])).alias("p"))
-    posts = posts.select("p.combo", "p.bytes", "fp").repartition("combo", "bytes").sortWithinPartitions("combo", "bytes", "fp")
-    links = posts.mapInArrow(_posting_links(max_bits), "a long, b long")
+    groups = position_groups(max_bits)
+    met = cut(_postings(least, _masks(max_bits, len(groups) - max_bits, groups)).mapInArrow(_linked(max_bits, heavy), "a long, b long"), "postings")
+    links, crowded = met.where("b is not null"), cut(met.where("b is null").select(F.col("a").alias("fp")).distinct(), "crowded")
+    if not crowded.isEmpty():
+        links = links.union(_postings(crowded, _masks(max_bits, 8 - max_bits, [(p,) for p in range(8)])).mapInArrow(_linked(max_bits, None), "a long, b long"))
     groups = connected_components(links)
     named = least.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("rep", "fp").alias("rep"))
     named = cut(named, "named")
@@ -148,45 +206,49 @@ def simhash_groups(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     their own; a null doc_id counts in no minimum (a component of such rows only has a null component_id).  An empty
     table gives no rows.  Columns other than doc_id and text are ignored, whatever their names.
     """
+    small_batches(docs)
     fps = cut(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     named = fingerprint_components(fps, max_bits)
     return fps.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _with_mark(schema, mark, kind: str):
+def _with_mark(schema, mark, kind: str, name: str):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, mark(texts_of(batch))], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, mark(texts_of(batch))], [*batch.schema.names, name])
 
-    return run, [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"__fp {kind}"]
+    return run, StructType([*schema, StructField(name, kind)])
 
 
 def keep_one(docs: DataFrame, max_bits: int = 2, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without near-duplicates: of each component the rows of its least doc_id stay, all columns unchanged."""
     mark = lambda texts: pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
-    return drop_rows(docs, simhash_groups(docs, max_bits), mark, "long", broadcast_rows)
+    return drop_rows(docs, simhash_groups(docs, max_bits), mark, LongType(), broadcast_rows)
 
 
-def drop_rows(docs: DataFrame, groups: DataFrame, mark, kind: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_rows(docs: DataFrame, groups: DataFrame, mark, kind: DataType, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with the rows of the least doc_id of each component of ``groups(doc_id, fp, component_id)``.
 
     Rows with a null doc_id stay only in a component that has no other rows.  Where rows of one doc_id are in several
     components, each is judged by its own, which ``mark`` tells: from texts to an array of ``fp``, of the type ``kind``.
     The ids that go are sent to all tasks if there are at most ``broadcast_rows``, so that texts stay where they are;
-    beyond that rows and ids meet by doc_id.
+    beyond that rows and ids meet by doc_id.  Columns may have any names.
     """
+    gone_id, fp, own = free_names(docs, "gone", "fp", "own")
     goes = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))
-    groups = groups.select("doc_id", F.col("fp").alias("__f"), goes.alias("goes"))
-    ids = groups.groupBy("doc_id").agg(F.bool_and("goes").alias("all"), F.bool_or("goes").alias("some"), F.collect_set(F.when(F.col("goes"), F.col("__f"))).alias("fps"))
-    gone = cut(ids.where("some").select(F.col("doc_id").alias("__gone"), "all", F.when(~F.col("all"), F.col("fps")).alias("fps")), "gone")
-    n, mixed = gone.agg(F.count(F.lit(1)), F.count_if(~F.col("all"))).first()
+    groups = groups.select("doc_id", F.col("fp").alias("f"), goes.alias("goes"))
+    ids = groups.groupBy("doc_id").agg(F.bool_and("goes").alias("every"), F.bool_or("goes").alias("some"))
+    gone = cut(ids.where("some").select("doc_id", "every"), "gone")
+    n, mixed = gone.agg(F.count(F.lit(1)), F.count_if(~F.col("every"))).first()
     bounded = F.broadcast if n <= broadcast_rows else lambda df: df
-    same = docs["doc_id"].eqNullSafe(F.col("__gone"))
-    kept = docs.join(bounded(gone.select("__gone")), same, "left_anti")
+    same = docs["doc_id"].eqNullSafe(F.col(gone_id))
+    kept = docs.join(bounded(gone.select(F.col("doc_id").alias(gone_id))), same, "left_anti")
     if mixed:  # doc_ids with rows that stay: fingerprints tell them apart
-        some = gone.where(~F.col("all")).select("__gone", F.explode("fps").alias("__f"))
-        run, fields = _with_mark(docs.schema, mark, kind)
-        rows = docs.join(bounded(some.select("__gone").distinct()), same, "left_semi").mapInArrow(run, ", ".join(fields))
-        rest = rows.join(bounded(some), rows["doc_id"].eqNullSafe(F.col("__gone")) & (rows["__fp"] == F.col("__f")), "left_anti").drop("__fp")
+        some = gone.where(~F.col("every")).select(F.col("doc_id").alias("d"))
+        some = cut(groups.where("goes").join(some, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select(F.col("doc_id").alias(gone_id), F.col("f").alias(fp)).distinct(), "mixed")
+        few = F.broadcast if some.count() <= broadcast_rows else lambda df: df
+        run, schema = _with_mark(docs.schema, mark, kind, own)
+        rows = docs.join(few(some.select(gone_id).distinct()), same, "left_semi").mapInArrow(run, schema)
+        rest = rows.join(few(some), rows["doc_id"].eqNullSafe(F.col(gone_id)) & (rows[own] == F.col(fp)), "left_anti").drop(own)
         kept = kept.unionByName(rest)
     return kept

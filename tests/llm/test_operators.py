@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from groundling.llm import decontaminate, html_text, langid, line_dedup, lm_score, neardup_vectors, packing, quality, simhash, token_file
 from groundling.llm.common import connected_components, tokenizer
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, label int, host string, chunk string, a long, b long, n long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, label int, host string, chunk string, a long, b long, n long, row long, __row long, __lines string, __gone long, __f long, __fp string, _gone0 long, _row0 string, shard long, key string"
 LINE = "a line that very many of the documents hold, word for word"
 
 
@@ -29,7 +29,7 @@ def corpus():
 
 
 def frame(spark, rows, parts=3):
-    full = [(i, t, "en", "s", len(t or ""), "clash", 1, "clash", "clash", 1, 2, 3) for i, t in rows]
+    full = [(i, t, "en", "s", len(t or ""), "clash", 1, "clash", "clash", 1, 2, 3, 4, 5, "clash", 6, 7, "clash", 8, "clash", 9, "clash") for i, t in rows]
     return spark.createDataFrame(full, DOCS).repartition(parts)
 
 
@@ -358,19 +358,41 @@ def test_simhash(spark, docs, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("n", [50, 600])
-def test_spanning_links(n):
-    rng = np.random.default_rng(n)
-    v = rng.integers(0, 1 << 62, n // 4, dtype=np.uint64)
-    v = np.unique(np.concatenate([v, v ^ np.uint64(3), v ^ np.uint64(1 << 40), v ^ np.uint64(7 << 20)]))
-    links = simhash.spanning_links(v, 2)
-    group = {int(x): {int(x)} for x in v.view(np.int64)}
-    for a, b in links:
-        assert (int(a) ^ int(b) & (1 << 64) - 1).bit_count() <= 2 and group[a] is not group[b]
-        group[a] |= group[b]
-        for x in group[b]:
-            group[x] = group[a]
-    for a in v:
-        for b in v:
-            if int(a ^ b).bit_count() <= 2:
-                assert group[int(np.int64(a))] is group[int(np.int64(b))]
+@pytest.mark.parametrize("heavy", [1, 4, 1024])
+def test_simhash_index_against_brute_force(spark, heavy):
+    """Chains and near misses over all bytes; with ``heavy`` 1 every posting of two passes its fingerprints on."""
+    rng = np.random.default_rng(heavy)
+    v = rng.integers(0, 1 << 62, 150, dtype=np.uint64)
+    v = np.concatenate([v, v ^ np.uint64(3), v ^ np.uint64(1 << 40 | 1 << 9), v ^ np.uint64(7 << 20), v[:1] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), v[1:2] ^ np.arange(400, dtype=np.uint64)])
+    v = np.unique(v)
+    least, near = {}, np.bitwise_count(v[:, None] ^ v[None, :]) <= 2
+    for i in range(len(v)):
+        if i not in least:
+            todo, least[i] = [i], i
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()]).tolist():
+                    if j not in least:
+                        least[j] = i
+                        todo.append(j)
+    fps = spark.createDataFrame([(i, x) for i, x in enumerate(v.view(np.int64).tolist())], "doc_id long, fp long").repartition(3)
+    got = {r["fp"]: r["component_id"] for r in simhash.fingerprint_components(fps, heavy=heavy).collect()}
+    assert got == {x: least[i] for i, x in enumerate(v.view(np.int64).tolist())}
+
+
+def test_tally_and_count_filter():
+    x = np.array([0x1122334455667788] * 4, np.uint64)
+    y = np.array([0x1122334455667788, 0x1122334455667789, 0x1122334455660000, 0x1022334455667780], np.uint64)
+    assert simhash.shared_bytes(x, y).tolist() == [8, 7, 6, 6]
+    assert simhash._retained(x, y, 2).tolist() == [0, 1, 3]
+    assert simhash.position_groups(2) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    for n in (50, 600):  # the two searches of a posting agree
+        rng = np.random.default_rng(n)
+        v = rng.integers(0, 1 << 16, n, dtype=np.uint64)
+        v = np.unique(v)
+        for links in (simhash.spanning_links(v, np.zeros(len(v), int), 2), simhash.neighbour_links(v, 2)):
+            group = np.arange(len(v))
+            for i, j in links.tolist():
+                assert int(v[i] ^ v[j]).bit_count() <= 2 and group[i] != group[j]
+                group[group == group[j]] = group[i]
+            near = np.argwhere(np.bitwise_count(v[:, None] ^ v[None, :]) <= 2)
+            assert (group[near[:, 0]] == group[near[:, 1]]).all()

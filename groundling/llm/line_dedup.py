@@ -1,11 +1,13 @@
-"""Line dedup by probing a sharded minimal perfect hash over the repeated lines.
-
-Lines are hashed to 128 bits; (documents, largest doc_id) per hash come from one map-side-combined aggregation.  Hashes
-found in enough documents are the keys of the index: a shard, chosen by the hash's leading bits, is a minimal perfect
-hash (one seed per small bucket) over compact arrays of 64-bit fingerprints, counts and keepers.  Documents probe the
-arrays; lines are never joined.  The index is sent to all tasks when its checked size is within ``broadcast_bytes``;
-beyond that the documents' probes are dealt out to (shard, salt), so a line that a third of all documents hold is spread over many
-tasks, each of which has a copy of the one shard.
+"""Line dedup by probing a sharded minimal perfect hash over distinct line hashes.
+
+Lines are hashed to 128 bits; (documents, largest doc_id) per distinct hash come from one map-side-combined aggregation.
+The distinct hashes of lines that more than one document holds are the keys of the index (a line of one document can
+never go, and would only make the index as large as the corpus): a shard, chosen by the hash's leading bits, is a
+minimal perfect hash (one seed per small bucket) over compact arrays of 64-bit fingerprints, counts and keepers.
+Documents probe the arrays, and the count found there decides whether a line goes; lines are never joined.  The index
+is sent to all tasks when its checked size is within ``broadcast_bytes``; beyond that the documents' probes are dealt
+out to (shard, salt), as many salts as the shard's counts ask for, so a line that a third of all documents hold is
+spread over many tasks, each of which reads the one shard and then streams its probes past it.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import cut, free_names, small_batches, texts_of
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of a shard at most on average; bytes of an index that is sent to all tasks.
 SHARD_KEYS, BROADCAST_BYTES = 200_000, 32 << 20
-#: At least 2^6 shards, so that building them is spread over tasks.
-MIN_BITS = 6
+#: At least 2^6 shards, so that building them is spread over tasks; probes of one task on average, beyond the broadcast.
+MIN_BITS, TASK_PROBES = 6, 500_000
 _BUCKET = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,7 +107,7 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     u = lambda c: table.column(c).to_numpy().view(np.uint64)
     shard = Shard(u("hi"), u("lo"), table.column("n").to_numpy(), table.column("keeper").to_numpy())
     blob = pickle.dumps(shard, protocol=5)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "size": pa.array([len(blob)], pa.int64()), "blob": pa.array([blob], pa.binary())})
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "size": pa.array([len(blob)], pa.int64()), "lines": pa.array([int(shard.count.sum())], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
 
 # ---------------------------------------------------------------- passes over the documents
@@ -128,14 +130,14 @@ def _hashes(min_chars: int):
     return run
 
 
-def line_index(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """The shards (shard, size, blob) over keys found in at least ``min_docs`` documents, and the shard number's bits."""
+def line_index(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
+    """The shards (shard, size, lines, blob) over the keys of more than one document, and the shard number's bits."""
     lines = docs.select("doc_id", "text").mapInArrow(_hashes(min_chars), "hi long, lo long, doc_id long")
     lines = lines.where("doc_id is not null").distinct()  # a doc_id that repeats counts once for a key
-    keys = cut(lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "line-keys")
+    keys = cut(lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where("n > 1"), "line-keys")
     bits = max(MIN_BITS, int(np.ceil(np.log2(max(1, keys.count()) / shard_keys))))
     shard = F.shiftrightunsigned("hi", 64 - bits)
-    return cut(keys.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard long, size long, blob binary"), "line-shards"), bits
+    return cut(keys.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard long, size long, lines long, blob binary"), "line-shards"), bits
 
 
 class _Probe:
@@ -144,33 +146,42 @@ class _Probe:
     def __init__(self, blobs: dict[int, bytes], bits: int):
         self.shards, self.bits = {k: pickle.loads(v) for k, v in blobs.items()}, bits
 
-    def keepers(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        """doc_id that keeps the line, -1 for a line that is not in the index; found says which are."""
-        out, shard = np.zeros(len(hi), np.int64), _shard_of(hi, self.bits)
-        found = np.zeros(len(hi), bool)
+    def gone(self, hi: np.ndarray, lo: np.ndarray, doc: np.ndarray, known: np.ndarray, min_docs: int) -> np.ndarray:
+        """Whether each line goes, of the documents ``doc`` (``known``: that have an id)."""
+        out, shard = np.zeros(len(hi), bool), _shard_of(hi, self.bits)
         for k in np.unique(shard).tolist():
             if k in self.shards:
                 rows = np.flatnonzero(shard == k)
-                at = self.shards[k].probe(hi[rows], lo[rows])
-                ok = at >= 0
-                out[rows[ok]], found[rows[ok]] = self.shards[k].keeper[at[ok]], True
-        self.found = found
+                out[rows] = _verdicts(self.shards[k], hi[rows], lo[rows], doc[rows], known[rows], min_docs)
         return out
 
 
-def _dropped(docs: list, texts: list[str], min_chars: int, probe: _Probe) -> list[set[int]]:
-    """For each text the numbers of its lines that go."""
-    own, line, his, los = [], [], [], []
-    for r, text in enumerate(texts):
+def _verdicts(shard: Shard, hi: np.ndarray, lo: np.ndarray, doc: np.ndarray, known: np.ndarray, min_docs: int) -> np.ndarray:
+    """By the arrays of the shard: its fingerprint is the line's, its count reaches ``min_docs``, its keeper is another."""
+    at = shard.probe(hi, lo)
+    if not shard.n:
+        return np.zeros(len(hi), bool)
+    return (at >= 0) & (shard.count[at] >= min_docs) & ((shard.keeper[at] != doc) | ~known)
+
+
+def _lines_of(batch: pa.RecordBatch, min_chars: int, rows: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines with a key: ``rows`` entry, number in the text, hash halves, doc_id (0 if null), whether it has one."""
+    docs = batch.column("doc_id").to_pylist()
+    own, line, his, los, ids, known = [], [], [], [], [], []
+    for r, doc, text in zip(rows, docs, texts_of(batch)):
         if len(text) >= min_chars:
             for k, x in enumerate(text.split("\n")):
                 if (h := line_hash(x, min_chars)) is not None:
-                    own.append(r), line.append(k), his.append(h[0]), los.append(h[1])
-    out: list[set[int]] = [set() for _ in texts]
-    keeper = probe.keepers(np.array(his, np.uint64), np.array(los, np.uint64)).tolist()
-    for r, k, who, hit in zip(own, line, keeper, probe.found.tolist()):
-        if hit and who != docs[r]:
-            out[r].add(k)
+                    own.append(r), line.append(k), his.append(h[0]), los.append(h[1]), ids.append(doc or 0), known.append(doc is not None)
+    return own, np.array(line, np.int64), np.array(his, np.uint64), np.array(los, np.uint64), np.array(ids, np.int64), np.array(known, bool)
+
+
+def _dropped(batch: pa.RecordBatch, min_chars: int, min_docs: int, probe: _Probe) -> list[set[int]]:
+    """For each text the numbers of its lines that go."""
+    own, line, *key = _lines_of(batch, min_chars, list(range(batch.num_rows)))
+    out: list[set[int]] = [set() for _ in range(batch.num_rows)]
+    for k in np.flatnonzero(probe.gone(*key, min_docs)).tolist():
+        out[own[k]].add(int(line[k]))
     return out
 
 
@@ -199,62 +210,70 @@ def _rewritten(batch: pa.RecordBatch, gone: list[set[int]]) -> pa.RecordBatch:
 
 
 def _apply(docs: DataFrame, make, schema, min_chars: int, min_docs: int, broadcast_bytes: int, shard_keys: int) -> DataFrame:
-    spark = docs.sparkSession
-    shards, bits = line_index(docs, min_chars, min_docs, shard_keys)
-    size, number = shards.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    if min_docs < 2:
+        raise ValueError("a line of one document stays")
+    spark = small_batches(docs).sparkSession
+    shards, bits = line_index(docs, min_chars, shard_keys)
+    size = shards.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        blobs = spark.sparkContext.broadcast(({r["shard"]: bytes(r["blob"]) for r in shards.toLocalIterator()}, bits))
+        blobs = spark.sparkContext.broadcast(({r["shard"]: bytes(r["blob"]) for r in shards.select("shard", "blob").toLocalIterator()}, bits))
 
         def run(batches):
             probe = _Probe(*blobs.value)
             for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                yield make(batch, _dropped(ids, texts_of(batch), min_chars, probe))
+                yield make(batch, _dropped(batch, min_chars, min_docs, probe))
 
         return docs.mapInArrow(run, schema)
-    return _apply_far(docs, shards, bits, number, make, schema, min_chars)
+    return _apply_far(docs, shards, bits, make, schema, min_chars, min_docs)
 
 
-def _apply_far(docs: DataFrame, shards: DataFrame, bits: int, number: int, make, schema, min_chars: int, salts: int = 16) -> DataFrame:
-    """For an index too large to send: probes go to (shard, salt), verdicts come back to their rows."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = cut(rows, "line-rows")
+def _apply_far(docs: DataFrame, shards: DataFrame, bits: int, make, schema, min_chars: int, min_docs: int, task_probes: int | None = None) -> DataFrame:
+    """For an index too large to send: probes go to (shard, salt), verdicts come back to their rows.
+
+    ``salts`` of a shard follow from how often its lines occur.  Shard numbers without keys get no probes.
+    """
+    row, gone_lines, kept = free_names(docs, "row", "lines", "at")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    salts = cut(shards.select(F.col("shard").alias("s"), F.greatest(F.lit(4), F.ceil(F.col("lines") / (task_probes or TASK_PROBES))).cast("int").alias("salts")), "salts")
 
     def probes(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for row, doc, text in zip(batch.column("__row").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch)):
-                for k, x in enumerate(text.split("\n")):
-                    if (h := line_hash(x, min_chars)) is not None:
-                        for o, v in zip(out, (row, doc, k, *h)):
-                            o.append(v)
-            hi, lo = (np.array(x, np.uint64) for x in out[3:])
+            own, line, hi, lo, doc, known = _lines_of(batch, min_chars, batch.column(row).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_shard_of(hi, bits)), pa.array([r % salts for r in out[0]], pa.int32()), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], ["shard", "salt", "row", "doc_id", "line", "hi", "lo"]
+                [pa.array(_shard_of(hi, bits)), pa.array(own, pa.int64()), pa.array(line), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(doc, mask=~known)],
+                ["shard", "row", "line", "hi", "lo", "doc_id"],
             )
 
-    sent = rows.select("__row", "doc_id", "text").mapInArrow(probes, "shard long, salt int, row long, doc_id long, line int, hi long, lo long".replace("line int", "line long"))
-    copies = shards.select("shard", "blob", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"row": pa.array([], pa.int64()), "line": pa.array([], pa.int64())})
-        if not right.num_rows or not left.num_rows:
-            return empty
-        shard = pickle.loads(right.column("blob")[0].as_py())
-        at = shard.probe(left.column("hi").to_numpy().view(np.uint64), left.column("lo").to_numpy().view(np.uint64))
-        doc = left.column("doc_id")
-        who = doc.fill_null(-1).to_numpy() if doc.null_count else doc.to_numpy()
-        gone = (at >= 0) & ((shard.keeper[at] != who) | doc.is_null().to_numpy())
-        return pa.table({"row": left.column("row").filter(pa.array(gone)), "line": left.column("line").filter(pa.array(gone))})
+    sent = rows.select(F.col(row), "doc_id", "text").mapInArrow(probes, "shard long, row long, line long, hi long, lo long, doc_id long")
+    sent = sent.join(salts, F.col("shard") == F.col("s")).withColumn("salt", F.pmod(F.xxhash64("row", "line"), F.col("salts").cast("long")).cast("int"))
+    sent = sent.select("shard", "salt", F.lit(1).alias("kind"), "row", "line", "hi", "lo", "doc_id", F.lit(None).cast("binary").alias("blob"))
+    none = F.lit(None).cast("long")
+    copies = shards.join(salts, F.col("shard") == F.col("s")).select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *(none.alias(c) for c in ("row", "line", "hi", "lo", "doc_id")), "blob")
+    met = copies.unionByName(sent).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").select("row", "line", "hi", "lo", "doc_id", "blob")
 
-    verdicts = sent.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(judge, "row long, line long")
-    lines = verdicts.groupBy("row").agg(F.collect_list("line").alias("__lines"))
-    joined = rows.join(lines, rows["__row"] == lines["row"], "left").drop("row", "__row")
+    def judge(batches):
+        shard = None
+        for batch in batches:
+            news = np.flatnonzero(batch.column("blob").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for a, b in zip([-1, *news], [*news, batch.num_rows]):
+                if a >= 0:
+                    shard = pickle.loads(batch.column("blob")[a].as_py())
+                part = batch.slice(a + 1, b - a - 1)
+                if part.num_rows and shard is not None:
+                    u = lambda c: part.column(c).to_numpy().view(np.uint64)
+                    doc = part.column("doc_id")
+                    known = doc.is_valid().to_numpy(zero_copy_only=False)
+                    gone = pa.array(_verdicts(shard, u("hi"), u("lo"), doc.fill_null(0).to_numpy(), known, min_docs))
+                    yield part.select(["row", "line"]).filter(gone)
+
+    verdicts = met.mapInArrow(judge, "row long, line long")
+    lines = verdicts.groupBy(F.col("row").alias(kept)).agg(F.collect_list("line").alias(gone_lines))
+    joined = rows.join(lines, F.col(row) == F.col(kept), "left").drop(row, kept)
 
     def run(batches):
         for batch in batches:
-            gone = [set(x or ()) for x in batch.column("__lines").to_pylist()]
-            yield make(batch.select([n for n in batch.schema.names if n != "__lines"]), gone)
+            gone = [set(x or ()) for x in batch.column(gone_lines).to_pylist()]
+            yield make(batch.select([n for n in batch.schema.names if n != gone_lines]), gone)
 
     return joined.mapInArrow(run, schema)
 
@@ -270,5 +289,10 @@ def line_dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text`` (and ``n_chars``, if there, of changed texts counted anew)."""
+    """``docs`` with repeated lines taken out of ``text`` (and ``n_chars``, if there, of changed texts counted anew).
+
+    Which lines go is as in ``line_dedup_digest``.  A null text stays null, a text that loses all its lines is empty, and
+    no row goes.  Rows that repeat stay rows of their own; all other columns, whatever their names, are unchanged.  A text
+    of any length is handled whole, line by line; an empty table gives no rows.
+    """
     return _apply(docs, _rewritten, docs.schema, min_chars, min_docs, broadcast_bytes, shard_keys)

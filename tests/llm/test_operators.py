@@ -175,11 +175,21 @@ def line_rules(rows):
 
 def test_line_dedup(docs, empty):
     want = line_rules(corpus())
+    old, line_dedup.TASK_PROBES = line_dedup.TASK_PROBES, 2
     for size in (line_dedup.BROADCAST_BYTES, -1):
         got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.line_dedup_digest(docs, broadcast_bytes=size).collect())
         assert got == Counter((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in want)
         rows = line_dedup.line_dedup(docs, broadcast_bytes=size)
         assert rows.columns == docs.columns and Counter((r["doc_id"], r["text"] or "", r["n_chars"]) for r in rows.collect()) == Counter((i, t, len(t)) for i, _, _, t in want)
+    line_dedup.TASK_PROBES = old
+    shards, bits = line_dedup.line_index(docs)
+    index = line_dedup._Probe({r['shard']: r['blob'] for r in shards.collect()}, bits)
+    held = Counter(k for _, t in {(i, t) for i, t in corpus() if i is not None} for k in {line_dedup.line_hash(x) for x in (t or '').split('\n')} - {None})
+    for (hi, lo), n in held.items():  # the count array holds every key of more than one document
+        hi, lo = np.array([hi], np.uint64), np.array([lo], np.uint64)
+        shard = index.shards.get(int(line_dedup._shard_of(hi, bits)[0]))
+        at = -1 if shard is None else int(shard.probe(hi, lo)[0])
+        assert at == -1 if n == 1 else int(shard.count[at]) == n
     assert sum(d for _, _, d, _ in want) == 7 and line_dedup.line_dedup_digest(empty).count() == 0
 
 

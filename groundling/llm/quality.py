@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
-from .langid import fold
+from .common import small_batches, texts_of
+from .langid import bottom, fold
 from .ngrams import Indicators
 
 SIZES, BITS, SAMPLE_PER_CLASS, THRESHOLD = (2, 3, 4), 17, 2000, 0.3
@@ -110,8 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     share = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class).union(known.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class))
-    picked = F.broadcast(docs.sparkSession.createDataFrame(picked.collect(), "doc_id long, quality int"))  # 2 * sample_per_class rows
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = F.broadcast(docs.sparkSession.createDataFrame(bottom(known, "quality", order, sample_per_class).collect(), "doc_id long, quality int"))  # 2 * sample_per_class rows
 
     def features(batches):
         own = Indicators(SIZES, BITS)
@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
             rows = [own(t).astype("<u4").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "at"])
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("doc_id", "quality", "text")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id")
+    sample = bottom(sample, "quality", [*order, F.xxhash64("text")], sample_per_class).select("doc_id", "quality", "text")  # however many rows repeat a doc_id
     found = [(r["doc_id"], r["quality"], np.frombuffer(r["at"], "<u4")) for r in sample.mapInArrow(features, "doc_id long, quality int, at binary").toLocalIterator()]
     found.sort(key=lambda x: (x[0] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, x[0], x[2].tobytes()))
     total = sum(share.values())
@@ -136,7 +137,7 @@ def score(docs: DataFrame, model: NbSvm, threshold: float = THRESHOLD, folds: in
     Null texts count as empty; an empty text has the score of the model's bias and two spaces.  Rows that repeat stay;
     an empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2^17
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # two arrays of 2^17
 
     def run(batches):
         own = Indicators(SIZES, BITS)
@@ -149,8 +150,12 @@ def score(docs: DataFrame, model: NbSvm, threshold: float = THRESHOLD, folds: in
 
 
 def keep_good(docs: DataFrame, model: NbSvm, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, all columns unchanged, in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` whose text scores at least ``threshold``, all columns unchanged, whatever their names, in one pass.
+
+    A null text is judged as the empty one; a text of any length is read whole, in pieces; a score equal to ``threshold``
+    stays.  Rows that repeat are judged alike; an empty table gives no rows.
+    """
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = Indicators(SIZES, BITS)

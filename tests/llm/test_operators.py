@@ -303,7 +303,14 @@ def test_language(spark):
     assert len(got) == len(rows) and all(by[k]["lang_pred"] == "und" for k in (900, 901, 902)) and by[903]["lang_pred"] == "en"
     held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 240]
     assert held and all(r["lang_pred"] == rows[r["doc_id"]][2] and 0 <= r["score"] <= 1 for r in held)
-    assert all(r["lang_pred"] == "und" for r in langid.identify(df, reject_below=1.01).collect())
+    assert not any(r["rejected"] for r in held[:1]) and all(by[k]["rejected"] for k in (900, 901, 902))
+    odd = df.limit(0).union(spark.createDataFrame([(7000, "zzqx kkj wvvx qqz", "en", "x"), (7001, "the house with water and the house", "de", "x")], df.schema))
+    model = langid.fit(df)
+    marks = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.predict(odd, model, reject=True).collect()}
+    assert marks == {7000: ("und", True), 7001: ("en", False)}
+    assert {r["lang_pred"] for r in langid.predict(odd, model).collect()} <= set(vocab)
+    few = langid.fit(df.union(df.where("doc_id = 5").withColumn("text", df["text"])), sample_per_lang=3)  # a bounded sample, ties and repeats included
+    assert set(few.names) == set(vocab) and langid.fit(df, max_langs=1).names[0] in vocab and len(set(langid.fit(df, max_langs=1).names)) == 1
     assert langid.identify(df.limit(0)).count() == 0 and {r["lang_pred"] for r in langid.identify(df.withColumn("lang", df["source"] if "source" in df.columns else df["lang"].substr(9, 1)).where("lang is null")).collect()} <= {"und"}
 
 

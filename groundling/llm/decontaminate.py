@@ -18,12 +18,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import small_batches, texts_of
 
 #: Share of an item's characters that may be edited; items shorter than this match exactly, on word borders, or else by chance.
 ERROR_RATE, MIN_ITEM_CHARS = 0.1, 20
 #: Characters of the items that one automaton holds at most (one longer item is a block of its own).
 BLOCK_CHARS = 4_000_000
+#: Bytes of patterns that a worker keeps at most, about; beyond that they are made anew.
+PATTERN_BYTES = 64 << 20
 _WORD = re.compile(r"\S+")
 
 
@@ -83,6 +85,7 @@ class Items:
 
         self.items, self.min_chars, found = [], min_chars, defaultdict(list)
         self.patterns: dict[tuple[int, int, int], Pattern] = {}
+        self.held = 0
         for item_id, text in items:
             budget = int(len(text) * error_rate) if len(text) >= min_chars else 0
             parts = pieces(text, budget)
@@ -98,10 +101,16 @@ class Items:
     def pattern(self, number: int, low: int, high: int) -> Pattern:
         """Of the pieces from ``low`` to before ``high``; made when first needed."""
         key = number, low, high
-        if key not in self.patterns:
+        found = self.patterns.get(key)
+        if found is None:
             _, item, _, cuts = self.items[number]
-            self.patterns[key] = Pattern(item[cuts[low] : cuts[high]])
-        return self.patterns[key]
+            found = Pattern(item[cuts[low] : cuts[high]])
+            size = 300 + len(found.bits) * (100 + found.size // 8)
+            if self.held + size > PATTERN_BYTES:
+                self.patterns, self.held = {}, 0
+            self.patterns[key] = found
+            self.held += size
+        return found
 
     def likely(self, text: str, start: int, number: int, piece: int) -> bool:
         """Whether ever larger parts of the item around the piece, but for the whole, are within their share of edits."""
@@ -208,6 +217,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     other columns, whatever their names, are ignored.
     """
     out = None
+    small_batches(docs)
     for block in _blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast((block, error_rate, min_item_chars))  # at most block_chars, or one item
 
@@ -229,7 +239,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_item_chars: int = MIN_ITEM_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, all columns unchanged; one pass a block, without a join."""
+    """The rows of ``docs`` in which no item is found, all columns unchanged, whatever their names; a pass a block, without a join.
+
+    Null and empty texts hold nothing and stay, as do rows without a doc_id or that repeat, if they hold no item.  Texts
+    are searched whole.  Without items all rows stay; an empty table gives no rows.
+    """
+    small_batches(docs)
     for block in _blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast((block, error_rate, min_item_chars))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -532,7 +532,7 @@ def extract_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
     one wrapper.  Rows that repeat stay; an empty table gives no rows; other columns, whatever their names, are ignored.
     Wrappers go to all tasks if their checked size is at most ``broadcast_bytes``, else they are joined by host.
     """
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     wrappers = cut(infer_wrappers(pages), "wrappers")
     size = wrappers.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("fixed") + 8 * F.size("clear") + F.length(F.concat_ws(" ", "path")) + 64), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"))

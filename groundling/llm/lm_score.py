@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import cut, small_batches, texts_of
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a chunk (one longer text is a chunk of its own) and, on average at most, behind a bucket.
@@ -247,7 +247,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, uns
     scores 0.  Rows that repeat are documents of their own, and know each other's n-grams; an empty table gives no
     rows; other columns, whatever their names, are ignored.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     chunks = cut(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_chunks(chunk_bytes), "chunk long, words long, bytes long, docs binary"), "lm-chunks")
     words, size = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, texts_of, tokenizer
+from .common import cut, scratch, small_batches, texts_of, tokenizer
 
 MAX_BITS, STEP, BLOCK_IDS, END_ID = 16, 128, 1 << 18, 0
 
@@ -204,9 +204,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     Documents are tokenised once, into a compact table of ids; counts come from it by one pre-aggregated pass (the
     result is bounded by the vocabulary), and the same table is sorted by doc_id range for writing.  Null text counts
-    as empty; each row gets the end id; null doc_ids come first; an empty table gives a file set without blocks.
+    as empty; each row gets the end id; null doc_ids come first; rows that repeat a doc_id follow each other in any order; an
+    empty table gives a file set without blocks.  Texts are encoded whole; columns other than doc_id and text are ignored, whatever
+    their names.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     tok = tokenizer(tokenizer_path, "space_prefix")
     vocabulary = tok.tok.get_vocab_size()
     ids = cut(docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, n long, ids binary"), "token-ids")

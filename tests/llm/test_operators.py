@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from groundling.llm import decontaminate, html_text, langid, line_dedup, lm_score, neardup_vectors, packing, quality, simhash, token_file
+from groundling.llm import decontaminate, html_text, langid, line_dedup, lm_score, neardup_vectors, ngrams, packing, quality, simhash, token_file
 from groundling.llm.common import connected_components, tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, label int, host string, chunk string, a long, b long, n long, row long, __row long, __lines string, __gone long, __f long, __fp string, _gone0 long, _row0 string, shard long, key string"
@@ -287,6 +287,57 @@ def test_quality(spark):
         assert quality.score(df, quality.train(df, few)).count() == len(rows)
 
 
+def plain_hash(gram: bytes, bits: int) -> int:
+    h = sum(b << 8 * k for k, b in enumerate(gram)) ^ (len(gram) * 0x3C6EF35F & 0xFFFFFFFF)
+    h ^= h >> 15
+    h = h * 0x9E3779B1 & 0xFFFFFFFF
+    h ^= h >> 13
+    return (h * 0x85EBCA77 & 0xFFFFFFFF) >> (32 - bits)
+
+
+def plain_grams(text, sizes, letters):
+    raw = f" {text.lower()} ".encode()
+    raw = bytes(b if not letters or b >= 128 or chr(b).isalpha() else 32 for b in raw)
+    return [raw[i : i + n] for n in sizes for i in range(len(raw) - n + 1)]
+
+
+def test_quality_and_language_against_brute_force(spark, monkeypatch):
+    """Scores from plain dictionaries of n-grams; pieces of 64 bytes stand for the pieces of very long texts."""
+    monkeypatch.setattr(ngrams, "_PIECE", 64)
+    rng = random.Random(31)
+    texts = ["", "a", "größer İx 漢字", "x" * 500] + [" ".join(rng.choice("the house Häuser 42 $$$ click über".split()) for _ in range(n)) for n in (1, 5, 30, 200)]
+    own = ngrams.Indicators(quality.SIZES, quality.BITS)
+    gen = np.random.default_rng(3)
+    model = quality.NbSvm(gen.standard_normal(1 << quality.BITS), gen.standard_normal(1 << quality.BITS), 0.3, 2.0, -0.1)
+    tf, at = [], []
+    for t in texts:
+        seen = {plain_hash(g, quality.BITS) for g in plain_grams(t, quality.SIZES, False)}
+        assert set(own(t).tolist()) == seen
+        norm = math.sqrt(sum(model.square[h] for h in seen))
+        margin = sum(model.linear[h] for h in seen) / norm + 0.3
+        assert abs(model.score(own(t)) - 1 / (1 + math.exp(-(2 * margin - 0.1)))) < 1e-9
+        counts = Counter(plain_hash(g, langid.BITS) for g in plain_grams(t, langid.SIZES, True))
+        tf.append({h: 1 + math.log(n) for h, n in counts.items()})
+    vectors = langid._tf(texts)
+    for row, want in zip(vectors, tf):
+        assert {h: round(float(row[h]), 5) for h in np.flatnonzero(row).tolist()} == {h: round(v, 5) for h, v in want.items()}
+    fitted = langid.Centroids.fit(["a", "a", "b", "b"], vectors[4:])
+    idf = [math.log(5 / (1 + sum(h in row for row in tf[4:]))) + 1 for h in range(1 << langid.BITS)]
+    for t, row, (lang, score, _) in zip(texts, tf, fitted.predict(texts)):
+        if langid.has_letter(t):
+            size = math.sqrt(sum((v * idf[h]) ** 2 for h, v in row.items()))
+            cos = [sum(v * float(fitted.weights[h, j]) for h, v in row.items()) / size for j in range(len(fitted.names))]
+            assert abs(max(cos) - score) < 1e-4 and lang in {n for n, c in zip(fitted.names, cos) if c > max(cos) - 1e-4}
+        else:
+            assert lang == "und"
+
+
+def test_language_ties_take_the_first_name():
+    x = langid._tf(["the house", "the house"])
+    model = langid.Centroids.fit(["zz", "aa"], x)
+    assert model.predict(["the house"])[0][0] == "aa"
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([0, 2]), np.array([1, 2]), np.array([0]), np.array([1])]
     w, b = quality.dual_coordinate_descent(rows, [np.ones(len(r)) for r in rows], np.array([1.0, -1, 1, -1]), np.full(4, 10.0), 3, 50)
@@ -337,6 +388,21 @@ def test_packing(docs, empty, bins):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_hardly_depends_on_the_split(spark):
+    """The number of sequences against the lower bound, from one task and from many."""
+    rng, path = random.Random(12), public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, " ".join(rng.choice("the house stands on green hills near water".split()) for _ in range(int(rng.lognormvariate(3.5, 1))))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 40):
+        got = packing.pack(df.repartition(parts), path, 512, again_rows=2000).collect()
+        fill = Counter()
+        for r in got:
+            fill[r["sequence_id"]] += r["length"]
+        least = math.ceil(sum(fill.values()) / 512)
+        assert max(fill.values()) <= 512 and least <= len(fill) <= 1.01 * least + 1
+        assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
 def test_best_fit_takes_the_least_space():
     p = packing.BestFit(10, 2)
     assert [p.place(x) for x in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]

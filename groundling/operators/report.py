@@ -53,6 +53,41 @@ def skill_keys(skills: DataFrame) -> DataFrame:
     return skills.withColumn("skill_key", F.when((F.col("url") == "") | (F.col("url") == owner), F.col("name")).otherwise(F.concat("name", F.lit("__"), X.short_hash(F.col("url"), 6))))
 
 
+def skill_files(skills: DataFrame, stored: DataFrame, stamp: str) -> DataFrame:
+    """(skill_key, rel, content): what saving ``skills(skill_key, url, text)`` writes next to ``stored(skill_key, url, text)``.
+
+    A stored document of another source keeps its name, and the new one gets six digits of its url's hash; a document that
+    is there already under the name goes to a backup, whose name has the ``stamp``.
+    """
+    had = stored.select(F.col("skill_key").alias("k"), F.col("url").alias("had_url"), F.col("text").alias("had"))
+    taken = (F.coalesce("had_url", F.lit("")) != "") & (F.col("url") != "") & (F.col("had_url") != F.col("url"))
+    rows = skills.join(had, F.col("skill_key") == F.col("k"), "left")
+    rows = rows.select(F.when(taken, F.concat("skill_key", F.lit("__"), X.short_hash(F.col("url"), 6))).otherwise(F.col("skill_key")).alias("skill_key"), "url", "text")
+    rows = rows.join(had, F.col("skill_key") == F.col("k"), "left")
+    kinds = F.array(
+        F.struct(F.lit("SKILL.md").alias("rel"), F.col("text").alias("content")),
+        F.when(F.col("url") != "", F.struct(F.lit(".source_url").alias("rel"), F.col("url").alias("content"))),
+        F.when(F.col("had").isNotNull(), F.struct(F.lit(f"SKILL_prev_{stamp}.md").alias("rel"), F.col("had").alias("content"))),
+    )
+    return rows.select("skill_key", F.explode(F.filter(kinds, lambda f: f.isNotNull())).alias("f")).select("skill_key", "f.*")
+
+
+MARKS = {"ok": "✓", "raw_only": "○", "error": "✗", "skipped": "⏭", "empty_llm": "✗"}
+
+
+def console_summary(records: DataFrame) -> DataFrame:
+    """(place, line): the closing lines of a run over ``records(place, raw, kind, status, pct_verified, error)``, place 0 first."""
+    status = F.coalesce("status", F.lit(""))
+    count = lambda name: F.count_if(status == name).cast("string")
+    head = records.agg(F.concat(F.lit("DONE: "), count("ok"), F.lit(" ok, "), count("raw_only"), F.lit(" raw-only, "), count("error"), F.lit(" errored")).alias("line"))
+    mark = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv]), status), F.lit("?"))
+    kind = F.coalesce("kind", F.lit("?"))
+    share = F.when(F.col("pct_verified") >= 0, F.concat(F.lit("  ("), F.round("pct_verified", 1).cast("string"), F.lit("% verified)"))).otherwise("")
+    failed = F.when(status == "error", F.concat(F.lit("  — "), F.substring(F.coalesce("error", F.lit("")), 1, 60))).otherwise("")
+    line = F.concat(F.lit("  "), mark, F.lit(" ["), F.rpad(kind, F.greatest(F.lit(14), F.length(kind)), F.lit(" ")), F.lit("] "), F.coalesce("raw", F.lit("?")), F.coalesce(share, F.lit("")), failed)
+    return head.select(F.lit(0).cast("long").alias("place"), "line").unionByName(records.select(F.col("place").cast("long").alias("place"), line.alias("line")))
+
+
 def verification_report(summaries: DataFrame, checks: DataFrame, *keys: str) -> DataFrame:
     """(keys.., report): summary, sections with claims, and every flagged line with its claims."""
     pct = lambda c: F.concat(F.format_string("%.1f", c), F.lit("%"))

@@ -136,3 +136,31 @@ def best_round(rounds: DataFrame, *keys: str) -> DataFrame:
 def status_rollup(results: DataFrame) -> DataFrame:
     """One row: results that are ok, raw only and failed; skipped and empty ones are not counted."""
     return results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "raw_only", "error")])
+
+
+#: Passages that are sent to all tasks at a time.
+PASSAGE_BLOCK = 100_000
+
+
+def passage_hits(docs: DataFrame, items: DataFrame, block: int = PASSAGE_BLOCK) -> DataFrame:
+    """(item_id, n_docs, first_doc) of ``items(item_id, v)``, folded passages, in ``docs(doc_id, norm_src)``, folded texts.
+
+    A passage that stands in a text as whole words has all its words there, so its longest word is its key: documents
+    post their distinct words, meet the keys in a broadcast join, and only where a key is met is the passage looked for.
+    A passage without any word has the empty key, which every document posts.  Passages go out in blocks of about
+    ``block``, so that what is sent stays bounded; documents are never shuffled.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0))
+    rows = items.select("item_id", X.strip(F.coalesce("v", F.lit(""))).alias("v"))
+    longest = F.array_max(F.transform(words("v"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = rows.where("v <> ''").select("item_id", "v", F.coalesce(longest, F.lit("")).alias("word"))
+    blocks = max(1, -(-keyed.count() // block))
+    posts = docs.select("doc_id", "norm_src", F.explode(F.array_union(words("norm_src"), F.array(F.lit("")))).alias("word"))
+    found = None
+    for k in range(blocks):
+        own = keyed.where(F.pmod(F.xxhash64("item_id", "v"), F.lit(blocks)) == k)
+        met = posts.join(F.broadcast(own), "word").where(words_in(F.col("v"), F.col("norm_src")))
+        part = met.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("item_id").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"))
+    return rows.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), "first_doc")

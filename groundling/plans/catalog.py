@@ -18,6 +18,7 @@ from ..operators import loop as L
 from ..operators import report as R
 from ..operators import verbatim as E
 from ..operators import verify as V
+from ..sources import dispatch as D
 from ..sources import readers as S
 from ..sources.routing import auth_needed, route, routing_counts
 from ..streaming.ingest import event_windows
@@ -142,29 +143,10 @@ hits as (select item_id, count(*) as n_docs, min(doc_id) as first_doc from items
 select item_id, coalesce(n_docs, 0)::bigint as n_docs, first_doc from items left join hits using (item_id)
 """)
 def verify_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as quoted claims against all documents; the claims are the query set, held as one array a block."""
+    """Benchmark passages as quoted claims against all documents, by an index on the passages' words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", X.norm_text(F.coalesce("text", F.lit(""))).alias("norm_src"))
     items = table(spark, sf_dir, "benchmark").select("item_id", X.norm_text("text").alias("v"))
-    return _passage_hits(docs, items)
-
-
-def _passage_hits(docs: DataFrame, items: DataFrame, block: int = 1000) -> DataFrame:
-    """(item_id, n_docs, first_doc); items go to all tasks in blocks of at most ``block``, each with its longest word as a cheap first test."""
-    rows = items.select("item_id", X.strip(F.coalesce("v", F.lit(""))).alias("v"))
-    blocks, held, spark = [], [], docs.sparkSession
-    for r in rows.toLocalIterator():
-        held.append((r["item_id"], r["v"], max(r["v"].split(), key=len, default="")))
-        if len(held) == block:
-            blocks.append(held)
-            held = []
-    found = None
-    for b in [*blocks, held]:
-        asked = F.broadcast(spark.createDataFrame([(b,)], "items array<struct<item_id:long,v:string,longest:string>>"))  # at most a block
-        met = docs.join(asked, F.lit(True))
-        hit = F.filter("items", lambda i: (i["v"] != "") & F.contains("norm_src", i["longest"]) & V.words_in(i["v"], F.col("norm_src")))
-        part = met.select("doc_id", F.explode(hit).alias("i")).groupBy("i.item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
-        found = part if found is None else found.unionByName(part)
-    return rows.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), "first_doc")
+    return V.passage_hits(docs, items)
 
 
 # ---------------------------------------------------------------- routing and urls
@@ -228,16 +210,25 @@ def url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(X.normalize_url(F.col("url")).alias("norm_url")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
 
 
-_HREFS = r"""hrefs as (select page_id, url, unnest(h) as href, (generate_subscripts(h, 1) - 1)::int as pos from (
-  select page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|''[^'']*'')', 1) as h from pages)),
-links as (select page_id, url, pos, trim(href) as href, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || trim(href) as link from hrefs
-  where trim(href) <> '' and not regexp_matches(trim(href), '^(#|javascript:|mailto:|tel:)'))"""
+#: Anchors in all three forms behind each page's own; the oracle reads tags and addresses by splitting, not by the pattern.
+_ANCHORS = """coalesce(html, '') || '<a class=x HREF = ' || chr(39) || '/single/' || page_id || chr(39) || '>s</a><A id=b href=/bare/' || page_id || '.html>b</A><a href="/amp?x=1&amp;y=' || page_id || '">c</a><a href=' || chr(39) || '#top' || chr(39) || '>t</a><a name=k>n</a><a href="mailto:a@b.c">m</a>'"""
+_HREFS = f"""tags as (select page_id, url, unnest(t) as tag, generate_subscripts(t, 1) as nth from (
+  select page_id, url, string_split(regexp_replace({_ANCHORS}, '<[aA] ', chr(1) || ' ', 'g'), chr(1))[2:] as t from pages)),
+attrs as (select page_id, url, nth, regexp_replace(split_part(tag, '>', 1), '(?i) href *= *', chr(2)) as t from tags),
+found as (select page_id, url, (row_number() over (partition by page_id order by nth) - 1)::int as pos, split_part(t, chr(2), 2) as v from attrs where contains(t, chr(2))),
+links as (select page_id, url, pos, href, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href as link from (
+  select page_id, url, pos, trim(replace(case left(v, 1) when '"' then split_part(v, '"', 2) when chr(39) then split_part(v, chr(39), 2) else split_part(v, ' ', 1) end, '&amp;', '&')) as href from found)
+  where href <> '' and left(href, 1) <> '#' and not starts_with(href, 'javascript:') and not starts_with(href, 'mailto:') and not starts_with(href, 'tel:'))"""
+
+
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{_ANCHORS} as html")
 
 
 @query(f"with {_HREFS} select page_id, pos, href, link from links")
 def links_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored pages link by absolute paths only, which is what the oracle resolves."""
-    return S.extract_links(table(spark, sf_dir, "pages")).select("page_id", "pos", "href", "link")
+    return S.extract_links(_linked_pages(spark, sf_dir)).select("page_id", "pos", "href", "link")
 
 
 @query(
@@ -246,7 +237,7 @@ def links_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f") and starts_with({_PATH.replace('url', 'link')}, {_PREFIX})))::bigint as n_followed from links group by page_id"
 )
 def links_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = S.extract_links(table(spark, sf_dir, "pages"))
+    links = S.extract_links(_linked_pages(spark, sf_dir))
     ok = X.may_follow(F.col("link"), X.url_host(F.col("url")), X.crawl_prefix(F.col("url")))
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(ok).alias("n_followed"))
 
@@ -342,12 +333,20 @@ def generated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills(spark, sf_dir).select("source_id", X.skill_name(F.col("skill_text")).alias("name"), fenced.alias("fenced"), X.clean_output(fenced).alias("cleaned"))
 
 
-_NOTE = "'{\"cells\":[{\"cell_type\":\"code\",\"source\":[\"a = ' || cast(conv_id as string) || '\\\\n\",\"b\"],\"outputs\":[{\"text\":[\"out ' || role || '\"]}]},{\"cell_type\":\"markdown\",\"source\":\"# t\"},{\"cell_type\":\"code\",\"source\":[],\"outputs\":[{\"data\":{\"text/plain\":\"7\"}}]}]}'"
+_NOTE = """case cast((conv_id + turn) % 4 as int)
+ when 0 then '{"cells":[{"cell_type":"code","source":["a = ' || cast(conv_id as string) || '","; b"],"outputs":[{"text":["out ' || role || '"," more"]}]},{"cell_type":"markdown","source":"# t"},{"cell_type":"code","source":[],"outputs":[{"data":{"text/plain":"7"}}]}]}'
+ when 1 then '{"cells":[{"source":"turn ' || cast(turn as string) || '","outputs":[{"text":"","data":{"text/plain":["p","' || role || '"]}},{"name":"none"}]},{"cell_type":"raw"}]}'
+ when 2 then '{"cells":[{"cell_type":"code","source":"x","outputs":[{"text":"' || repeat(role, 600) || '"}]}]}'
+ else case when turn % 2 = 0 then '{"metadata":{}}' else 'no notebook ' || role end end"""
 
 
-@query("""select conv_id, turn, '# Cell 1 [code]' || chr(10) || 'a = ' || conv_id || chr(10) || 'b' || chr(10) || chr(10) || '# Output of cell 1' || chr(10) || 'out ' || role || chr(10) || chr(10)
- || '# Cell 2 [markdown]' || chr(10) || '# t' || chr(10) || chr(10) || '# Output of cell 3' || chr(10) || '7' as flat from conversations""")
+@query(f"""select conv_id, turn, case (conv_id + turn) % 4
+ when 0 then '# Cell 1 [code]' || {NL} || 'a = ' || conv_id || '; b' || {NL} || {NL} || '# Output of cell 1' || {NL} || 'out ' || role || ' more' || {NL} || {NL} || '# Cell 2 [markdown]' || {NL} || '# t' || {NL} || {NL} || '# Output of cell 3' || {NL} || '7'
+ when 1 then '# Cell 1 [?]' || {NL} || 'turn ' || turn || {NL} || {NL} || '# Output of cell 1' || {NL} || 'p' || role
+ when 2 then '# Cell 1 [code]' || {NL} || 'x' || {NL} || {NL} || '# Output of cell 1' || {NL} || repeat(role, 600)[:2000]
+ else case when turn % 2 = 0 then '' else 'no notebook ' || role end end as flat from conversations""")
 def notebooks_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and outputs as strings and as lists, missing parts, long outputs, a notebook without cells, and what is none."""
     return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_NOTE} as nb").select("conv_id", "turn", S.flatten_notebook("nb").alias("flat"))
 
 
@@ -414,19 +413,17 @@ def truncate_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.head_tail(F.col("text"), 1000).alias("cut"))
 
 
-_KWS = ", ".join(f"case when strpos(substr(text, 401), '{k}') > 0 and strpos(substr(text, 401), '{k}') + 399 < n - 300 then strpos(substr(text, 401), '{k}') + 399 end" for k in T.PAPER_KEYWORDS)
+_KWS = ", ".join(f"case when strpos(substr(text, 801), '{k}') > 0 and strpos(substr(text, 801), '{k}') + 799 < n - 600 then strpos(substr(text, 801), '{k}') + 799 end" for k in T.PAPER_KEYWORDS)
+_PAPER = "text || case cast(doc_id % 4 as int) when 0 then repeat(' x', 300) || ' Algorithm ' || text || repeat(' y', 500) when 1 then ' Method ' || text when 2 then repeat(text, 2) || ' We propose it' else '' end"
 
 
-@query(f"""with t as (select doc_id, text || case when doc_id % 3 = 0 then repeat(' x', 300) || ' Algorithm ' || text else '' end as text from documents), a as (select *, length(text) as n from t),
-b as (select *, coalesce({_KWS}, n // 2) as kw from a), c as (select *, greatest(400, kw - 150) as st from b), d as (select *, least(n - 300, st + 300) as en from c)
-select doc_id, case when n <= 1300 then text else text[:520] || '' end as x, n::int as n,
- case when n <= 1000 then text else text[:400] || chr(10) || chr(10) || '[... elided ' || format('{{:,}}', st - 400) || ' chars; full source on disk ...]' || chr(10) || chr(10) || case when en > st then substr(text, st + 1, en - st) else '' end
- || chr(10) || chr(10) || '[... elided ' || format('{{:,}}', n - 300 - en) || ' chars ...]' || chr(10) || chr(10) || right(text, 300) end as cut from d""".replace("kw - 150", "kw - 0").replace("st + 300)", "st + 0)"))
+@query(f"""with a as (select doc_id, {_PAPER} as text from documents), n as (select *, length(text) as n from a), k as (select *, coalesce({_KWS}, n // 2) as kw from n),
+s as (select *, greatest(800, kw - 150) as st from k), e as (select *, least(n - 600, st + 300) as en from s)
+select doc_id, case when n <= 2000 then text else text[:800] || {NL} || {NL} || '[... elided ' || format('{{:,}}', st - 800) || ' chars; full source on disk ...]' || {NL} || {NL} || case when en > st then substr(text, st + 1, en - st) else '' end
+ || {NL} || {NL} || '[... elided ' || format('{{:,}}', n - 600 - en) || ' chars ...]' || {NL} || {NL} || right(text, 600) end as cut from e""")
 def truncate_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A budget of 1000: 400 head, 300 tail, nothing left for the middle after the marks' allowance."""
-    t = table(spark, sf_dir, "documents").selectExpr("doc_id", "text || case when doc_id % 3 = 0 then repeat(' x', 300) || ' Algorithm ' || text else '' end as text")
-    n = F.length("text")
-    return t.select("doc_id", F.when(n <= 1300, F.col("text")).otherwise(F.substring("text", 1, 520)).alias("x"), n.alias("n"), X.paper_truncate(F.col("text"), 1000).alias("cut"))
+    """A budget of 2000: 800 head, 600 tail, and 300 around a keyword, an early one, a late one, or the midpoint."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PAPER} as text").select("doc_id", X.paper_truncate(F.col("text"), 2000).alias("cut"))
 
 
 @query(f"""with {_FILES_SQL}, b as (select *, lower(ext) in {tuple(T.BINARY_EXTS)} as is_binary from files1),
@@ -487,6 +484,137 @@ def pr_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.review_comments(c.select("pr", "kind", pos.alias("pos"), body.alias("body_json")))
 
 
+# ---------------------------------------------------------------- sources of every kind
+
+_BLOB = "doc_id as source_id, case when doc_id % 3 = 0 then 'src/missing.py' else 'src/f' || cast(doc_id % 2 as string) || '.py' end as path"
+
+
+@query(f"""with b as (select {_BLOB} from documents), f as (select doc_id as source_id, 'src/f' || k || '.py' as path, coalesce(text, '') || k as content from documents, (values (0), (1)) v(k))
+select source_id, path, '### Primary file (from blob URL): `' || path || '`' || {NL} || {NL} || content || {NL} as extra_text from b left join f using (source_id, path)""")
+def blob_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.selectExpr("doc_id as source_id", "explode(array(0, 1)) as k", "text").selectExpr("source_id", "'src/f' || k || '.py' as rel", "coalesce(text, '') || k as content")
+    return S.primary_file(docs.selectExpr(f"inline(array(struct({_BLOB})))"), files).select("source_id", "path", "extra_text")
+
+
+_PR = "case when turn % 5 = 0 then null else 'T ' || role end as title, case when turn % 2 = 0 then null else text end as body, case when turn % 3 = 0 then '' else '+ ' || text end as diff, case when turn % 4 = 0 then null else '### a:' || chr(10) || role end as comments"
+
+
+@query(f"""with p as (select conv_id, turn, {_PR} from conversations)
+select conv_id, turn, concat_ws({NL} || {NL}, case when title is not null then '# PR #' || turn || ': ' || title || {NL} || {NL} || coalesce(body, '') || {NL} end,
+ case when coalesce(diff, '') <> '' then '## Diff' || {NL} || {NL} || '```diff' || {NL} || diff || {NL} || '```' end, case when comments is not null then '## Review comments' || {NL} || {NL} || comments end) as extra_text from p""")
+def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"inline(array(struct({_PR})))")
+    return p.select("conv_id", "turn", S.pull_request_text(F.col("title"), F.col("body"), F.col("diff"), F.col("comments"), F.col("turn").cast("string")).alias("extra_text"))
+
+
+_PAPERS = "doc_id as source_id, case when doc_id % 4 = 0 then null else text end as ar5iv, repeat(text, 2) as other, case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then null else 'pdf of ' || lang end as pdf_text"
+
+
+@query(f"""with p as (select {_PAPERS} from documents), t as (select *, coalesce(case when length(ar5iv) > 1000 then ar5iv end, case when length(other) > 1000 then other end) as page from p)
+select source_id, concat_ws({NL} || {NL}, '## ArXiv HTML version' || {NL} || {NL} || page, '## ArXiv PDF version' || {NL} || {NL} || nullif(pdf_text, '')) as text from t""")
+def arxiv_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first version in HTML that is long enough, and the PDF; either may be missing."""
+    p = table(spark, sf_dir, "documents").selectExpr(f"inline(array(struct({_PAPERS})))")
+    return p.select("source_id", S.paper_text(F.col("ar5iv"), F.col("other"), pdf=F.col("pdf_text")).alias("text"))
+
+
+@query("""with p as (select doc_id as source_id, k as page, case when (doc_id + k) % 4 = 0 then null else substring(text, k * 100, 100) end as text from documents, generate_series(1, 3) g(k) where k <= 1 + doc_id % 3)
+select source_id, string_agg('--- PAGE ' || page || '/' || n || ' ---' || chr(10) || coalesce(text, ''), chr(10) order by page) as text from (select *, count(*) over (partition by source_id) as n from p) group by source_id""")
+def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").selectExpr("doc_id", "explode(sequence(1, cast(1 + doc_id % 3 as int))) as page", "text")
+    return S.pdf_pages_text(pages.selectExpr("doc_id as source_id", "page", "case when (doc_id + page) % 4 = 0 then null else substring(text, page * 100, 100) end as text"))
+
+
+_NAMED = "page_id as source_id, case when page_id % 3 = 0 then 'pdf' else 'text' end as kind, case cast(page_id % 4 as int) when 0 then url when 1 then url || '/notes v1.txt' when 2 then url || '/a.b.pdf' else url || '/' end as url, 'x' as text"
+_SLUG = lambda c: f"trim(regexp_replace(regexp_replace({c}, 'https?://', ''), '[^a-zA-Z0-9._-]+', '_', 'g'), '_')[:80]"
+
+
+@query(f"""with d as (select {_NAMED} from pages), n as (select *, regexp_extract(url, '[^/]*$') as name from d)
+select source_id, kind, case when kind = 'pdf' then 'document.txt' when name = '' then 'page.txt' else name end as rel,
+ {_SLUG("case when kind = 'pdf' then case when strpos(name[2:], '.') > 0 then regexp_replace(name, '[.][^.]*$', '') else name end else url end")} as skill_basename from n""")
+def text_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.document_bundles(table(spark, sf_dir, "pages").selectExpr(f"inline(array(struct({_NAMED})))")).select("source_id", "kind", "rel", "skill_basename")
+
+
+@query(f"""with m as (select doc_id as source_id, 'https://m/' || doc_id as url, 'list ' || lang as text from documents), e as (select doc_id as source_id, k as place, 'https://e/' || k as url, case when (doc_id + k) % 3 = 0 or doc_id % 5 = 0 then null else substring(text, k, 50) end as markdown from documents, generate_series(1, 3) g(k)),
+b as (select source_id, string_agg({NL} || {NL} || '===== MANIFEST ENTRY ' || place || '/3 — ' || url || ' =====' || {NL} || {NL} || markdown, '' order by place) as body from e where markdown is not null group by 1)
+select source_id, '# llms.txt manifest: ' || url || {NL} || {NL} || text || {NL} || {NL} || coalesce(body, '') as text from m left join b using (source_id)""")
+def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    m = docs.selectExpr("doc_id as source_id", "'https://m/' || doc_id as url", "'list ' || lang as text")
+    e = docs.selectExpr("doc_id", "explode(sequence(1, 3)) as place", "text").selectExpr("doc_id as source_id", "place", "'https://e/' || place as url", "case when (doc_id + place) % 3 = 0 or doc_id % 5 = 0 then null else substring(text, place, 50) end as markdown")
+    return B.manifest_bundles(m, e)
+
+
+@query("""with r as (select o_orderkey as source_id, 'Own' || o_custkey % 9 as owner, case when o_orderkey % 2 = 0 then 'Repo' else 'repo' end || o_orderkey % 11 as repo, case when o_orderkey % 3 = 0 then 'main' end as ref from orders)
+select lower(owner) as owner, lower(repo) as repo, coalesce(ref, '') as ref, min(source_id) as source_id from r group by 1, 2, 3""")
+def repo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each repository and ref is fetched for one source, whatever the case of its name."""
+    return S.repositories(table(spark, sf_dir, "orders").selectExpr("o_orderkey as source_id", "'Own' || o_custkey % 9 as owner", "case when o_orderkey % 2 = 0 then 'Repo' else 'repo' end || o_orderkey % 11 as repo", "case when o_orderkey % 3 = 0 then 'main' end as ref"))
+
+
+@query("""with o as (select 'https://github.com/o' || o_custkey % 20 as raw, o_custkey % 20 as source_id, 'r' || o_orderkey as repo, 1 as page, o_orderkey as pos, o_orderstatus = 'F' as gone from orders)
+select source_id, raw || '#' || repo as raw, 'https://github.com/o' || source_id || '/' || repo as url from (select *, row_number() over (partition by source_id order by pos) as k from o where not gone) where k <= 25""")
+def org_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisations become sources of their own for each repository."""
+    orders = table(spark, sf_dir, "orders")
+    routed = route(orders.selectExpr("o_custkey % 20 as source_id", "'https://github.com/o' || o_custkey % 20 as raw").distinct())
+    listing = orders.selectExpr("'o' || o_custkey % 20 as owner", "1 as page", "o_orderkey as pos", "'r' || o_orderkey as name", "o_orderstatus = 'F' as fork", "false as archived")
+    return D.org_sources(routed, listing).select("source_id", "raw", "url")
+
+
+_KINDS = "doc_id as source_id, case cast(doc_id % 8 as int) when 0 then 'https://t.org/n' || doc_id || '.txt' when 1 then 'https://p.org/a' || doc_id || '.pdf' when 2 then '2101.' || lpad(cast(doc_id % 100000 as string), 5, '0') when 3 then 'https://m' || doc_id || '.org/llms.txt' when 4 then 'https://w' || doc_id || '.org/x' when 5 then 'https://github.com/o/r' || doc_id when 6 then 'https://github.com/o' || doc_id else 'no source ' || doc_id end as raw"
+
+
+@query(f"""with s as (select {_KINDS}, doc_id, coalesce(text, '') as t from documents), k as (select *, case doc_id % 8 when 0 then 'text' when 1 then 'pdf' when 2 then 'arxiv' when 3 then 'llms_manifest' when 4 then 'web' when 5 then 'github_repo' when 6 then 'github_org' else 'unknown' end as kind,
+ case doc_id % 8 when 2 then 'https://arxiv.org/abs/' || raw when 7 then 'https://' || raw else raw end as url from s)
+select source_id, kind, url, case kind when 'text' then {_SLUG("url")} when 'pdf' then 'a' || doc_id when 'arxiv' then 'arxiv_' || raw when 'llms_manifest' then {_SLUG("url")} when 'web' then {_SLUG("url")} when 'github_repo' then 'o_r' || doc_id end as skill_basename,
+ case kind when 'text' then t when 'pdf' then '--- PAGE 1/2 ---' || {NL} || t[:100] || {NL} || '--- PAGE 2/2 ---' || {NL} || t[101:] when 'arxiv' then case when length(t) > 1000 then '## ArXiv HTML version' || {NL} || {NL} || t || {NL} || {NL} else '' end || '## ArXiv PDF version' || {NL} || {NL} || 'P' || doc_id
+  when 'llms_manifest' then '# llms.txt manifest: ' || url || {NL} || {NL} || 'M' || {NL} || {NL} || {NL} || {NL} || '===== MANIFEST ENTRY 1/1 — https://e =====' || {NL} || {NL} || t
+  when 'web' then t
+  when 'github_repo' then '# Repository: o/r' || doc_id || {NL} || 'URL: ' || url || {NL} || 'Files: 1 text, 0 binary/excluded' || {NL} || {NL} || '## Directory tree' || {NL} || '```' || {NL} || 'src/' || {NL} || '  a.py  (100.0 B)' || {NL} || '```' || {NL} || {NL} || '## Extra context' || {NL} || {NL} || 'E' || {NL} || {NL} || '## File contents (priority-ordered)' || {NL} || {NL} || '### `src/a.py`' || {NL} || {NL} || '```py' || {NL} || t || {NL} || '```' || {NL} end as text,
+ case when kind in ('github_org', 'unknown') then 'Cannot download kind=' || kind end as error from k""")
+def source_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a source of one of eight kinds, routed, read and bundled."""
+    docs = table(spark, sf_dir, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    routed = route(docs.selectExpr(f"inline(array(struct({_KINDS})))"))
+    of = lambda k, *c: docs.where(F.col("doc_id") % 8 == k).selectExpr("doc_id as source_id", *c)
+    return D.download(
+        routed,
+        files=of(5, "'src/a.py' as rel", "t as text", "100L as bytes", "false as is_binary"),
+        extra=of(5, "'E' as extra_text"),
+        pages=of(4, "1 as place", "'u' as url", "t as markdown"),
+        papers=of(2, "t as html", "'P' || doc_id as pdf_text"),
+        pdf_pages=of(1, "inline(array(struct(1 as page, substring(t, 1, 100) as text), struct(2 as page, substring(t, 101, length(t)) as text)))"),
+        manifests=of(3, "'M' as text"),
+        entries=of(3, "1 as place", "'https://e' as url", "t as markdown"),
+        texts=of(0, "t as text"),
+    )
+
+
+_BYTES = "case cast(doc_id % 4 as int) when 0 then concat(X'4100', encode(coalesce(text, ''), 'utf-8')) when 1 then concat(encode('caf', 'utf-8'), X'ff', encode(lang, 'utf-8')) else encode(coalesce(text, ''), 'utf-8') end"
+
+
+@query("""select doc_id as source_id, 'd/f.txt' as rel, doc_id % 4 = 0 as is_binary, case doc_id % 4 when 0 then null when 1 then 'caf' || chr(65533) || lang else coalesce(text, '') end as text from documents""")
+def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zero byte makes a file binary, bad UTF-8 is replaced."""
+    return S.walk(table(spark, sf_dir, "documents").selectExpr("doc_id as source_id", "'d/f.txt' as rel", "cast(1 as long) as bytes", f"{_BYTES} as content")).select("source_id", "rel", "is_binary", "text")
+
+
+@query(f"""select page_id, case when ends_with(u, '.txt') or ends_with(u, '.md') then 'text' else 'headless' end as method, ({_ANY(f"lower({_PATH.replace('url', 'u')})", T.DOCS_PATHS)} or {_ANY(_HOST.replace('url', 'u'), T.DOCS_HOSTS)}) as crawls, false as crawls_one
+ from (select page_id, case cast(page_id % 4 as int) when 0 then url || '/docs/a' when 1 then url || '/x.md' when 2 then 'https://docs.a.org/' || page_id else url end as u from pages)""")
+def fetch_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which way each page would be read, and whether by a crawl of 25 pages, and of one."""
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id", "case cast(page_id % 4 as int) when 0 then url || '/docs/a' when 1 then url || '/x.md' when 2 then 'https://docs.a.org/' || page_id else url end as u")
+    return rows.select("page_id", S.fetch_method(F.col("u")).alias("method"), S.reads_by_crawl(F.col("u")).alias("crawls"), S.reads_by_crawl(F.col("u"), 1).alias("crawls_one"))
+
+
+@query("""select doc_id as source_id, unnest(['arxiv_html.md', 'arxiv_pdf.txt']) as rel, unnest([text, 'p' || lang]) as content from documents""")
+def paper_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.paper_files(table(spark, sf_dir, "documents").selectExpr("doc_id as source_id", "text as html", "'p' || lang as pdf_text"))
+
+
 # ---------------------------------------------------------------- lines, claims, verification
 
 
@@ -602,17 +730,22 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.annotate(lines, V.line_checks(lines, verified, "source_id"), "source_id")
 
 
+_HALF_FRONT = "case when source_id % 4 = 0 then substring(skill_text, strpos(skill_text, '# Title'), length(skill_text)) when source_id % 4 = 1 then skill_text || chr(10) || '<!-- VERBATIM-DIRECTIVE-V1 -->' else skill_text end"
+
+
 @query(f"""with {SECTIONS_SQL}, d as (select source_id, list('_' || section || '_ (' || printf('%.1f', pct_verified) || '%)' order by pct_verified, first_line) as l from sections
- where claims_total >= 3 and pct_verified < 92 and (regexp_matches(section, {_RISKY}) or pct_verified < 87) group by 1)
-select source_id, starts_with(skill_text, '---') as has_front, case when l is null then '(precautionary — no specific sections flagged)' else array_to_string(l[:5], ', ') || case when len(l) > 5 then ', +' || (len(l) - 5) || ' more' else '' end end as names,
- true as once from skills left join d using (source_id)""")
+ where claims_total >= 3 and pct_verified < 92 and (regexp_matches(section, {_RISKY}) or pct_verified < 87) group by 1),
+t as (select source_id, {_HALF_FRONT} as text, case when l is null then '(precautionary — no specific sections flagged)' else array_to_string(l[:5], ', ') || case when len(l) > 5 then ', +' || (len(l) - 5) || ' more' else '' end end as names from skills left join d using (source_id)),
+f as (select *, case when starts_with(text, '---') then array_to_string(string_split(text, {NL})[:4], {NL}) || {NL} else '' end as front from t)
+select source_id, names, case when contains(text, '{T.DIRECTIVE_MARKER}') then text else front || case when front = '' then '' else {NL} end || '{T.DIRECTIVE_MARKER}' || {NL} || '> **⚠ Check identifiers before writing code**' || {NL} || '>' || {NL}
+ || '> Parts of this document could not be verified against its source: ' || names || {NL} || '>' || {NL} || '> Take names, parameters, types, constants, configuration keys and paths from `VERBATIM_REFERENCE.md`, which is copied' || {NL}
+ || '> from the source. What stands only here is unverified.' || {NL} || {NL} || text[length(front) + 1:] end as once from f""")
 def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The notice goes in once, behind the front matter; injecting again changes nothing."""
+    """The notice behind the front matter, at the top without one, and not again where its marker is; injected twice, it stands once."""
     d = V.dangerous_sections(_sections(spark, sf_dir)).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pct_verified", "first_line", "section"))).alias("d"))
     rows = skills(spark, sf_dir).join(d, "source_id", "left").withColumn("d", F.coalesce("d", F.array().cast("array<struct<pct_verified:double,first_line:int,section:string>>")))
-    rows = rows.withColumn("new", R.inject_directive(F.col("skill_text"), F.col("d")))
-    once = (R.inject_directive(F.col("new"), F.col("d")) == F.col("new")) & (F.locate(T.DIRECTIVE_MARKER, F.col("new")) > F.locate("\n---\n", F.col("new"))) & F.col("new").contains(R.flagged_names(F.col("d")))
-    return rows.select("source_id", F.col("new").startswith("---").alias("has_front"), R.flagged_names(F.col("d")).alias("names"), once.alias("once"))
+    rows = rows.withColumn("text", F.expr(_HALF_FRONT.replace("strpos(skill_text, '# Title')", "locate('# Title', skill_text)")))
+    return rows.select("source_id", R.flagged_names(F.col("d")).alias("names"), R.inject_directive(R.inject_directive(F.col("text"), F.col("d")), F.col("d")).alias("once"))
 
 
 @query("""with s as (select page_id as source_id, 'name' || (page_id % 9) as name, url from pages), o as (select *, first_value(url) over (partition by name order by source_id) as own from s)
@@ -622,7 +755,15 @@ def skill_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.skill_keys(s).select("source_id", "skill_key")
 
 
-@query()
+@query(f"""with {SECTIONS_SQL}, n as (select source_id, count(*) as total_lines_checked from lines group by 1),
+t as (select source_id, sum(flagged_lines)::bigint as flagged, sum(claims_total)::bigint as total, sum(claims_unverified)::bigint as bad, {PCT("sum(claims_unverified)", "sum(claims_total)")} as pct,
+ coalesce(string_agg('| ' || section || ' | ' || claims_total || ' | ' || claims_unverified || ' | ' || printf('%.1f', pct_verified) || '% | ' || flagged_lines || '/' || lines || ' |', {NL} order by pct_verified, first_line) filter (where claims_total > 0), '') as rows from sections group by 1),
+bad as (select source_id, line_no, count(*) as of_all, list(ctype || ':' || value order by claim_seq) filter (where not verified) as u from verified group by all),
+f as (select source_id, string_agg('### Line ' || line_no || ' — section: _' || section || '_' || {NL} || {NL} || '> ' || line[:300] || {NL} || {NL} || 'Unverified (' || len(u) || ' of ' || of_all || '):' || {NL}
+  || array_to_string(list_transform(u, lambda x: '- `' || x || '`'), {NL}) || {NL}, {NL} order by line_no) as flagged_lines from bad join lines using (source_id, line_no) where len(u) > 0 group by 1)
+select source_id, '# Verification report' || {NL} || {NL} || '## Summary' || {NL} || '- Total claims checked: **' || total || '**' || {NL} || '- Unverified claims: **' || bad || '**' || {NL} || '- Lines flagged: **' || flagged || '** of ' || total_lines_checked || {NL}
+ || '- Overall verified: **' || printf('%.1f', pct) || '%**' || {NL} || {NL} || '## Per-section breakdown' || {NL} || {NL} || '| Section | Claims | Unverified | % verified | Lines flagged |' || {NL} || '| --- | ---: | ---: | ---: | ---: |' || {NL} || rows || {NL} || {NL}
+ || coalesce('## Flagged lines' || {NL} || {NL} || flagged_lines, 'No unverified claims found.') as report from n join t using (source_id) left join f using (source_id)""")
 def verification_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, verified = _verified(spark, sf_dir)
     s = V.summaries(lines, V.section_stats(lines, verified, "source_id"), "source_id")
@@ -635,9 +776,40 @@ def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.result_records(rows)
 
 
-@query(f"with {LINES_SQL} select source_id, count(*)::bigint as n_lines, case when count(*) >= 250 then 'minimum' else 'below' end as grade from lines group by source_id")
+_LONGER = "skill_text || repeat(chr(10) || 'more of it', cast(source_id % 6 as int) * 100)"
+
+
+@query(f"""with {SKILLS_SQL}, n as (select source_id, len(string_split({_LONGER}, {NL}))::bigint as n_lines from skills)
+select *, case when n_lines < 250 then 'below' when n_lines < 400 then 'minimum' when n_lines < 500 then 'good' else 'excellent' end as grade from n""")
 def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.quality_grade(C.skill_lines(skills(spark, sf_dir), "source_id"), "source_id")
+    longer = skills(spark, sf_dir).selectExpr("source_id", f"{_LONGER} as skill_text")
+    return R.quality_grade(C.skill_lines(longer, "source_id"), "source_id")
+
+
+_RECORDS = f"conv_id * 100 + turn + 1 as place, 'https://x/' || conv_id as raw, case when turn % 7 = 6 then null else 'github_repo' end as kind, {_STATUS} as status, case when turn % 3 = 0 then null when turn % 3 = 1 then -1.0 else 52.5 + turn end as pct_verified, 'E: ' || repeat(role, 20) as error"
+
+
+@query(f"""with r as (select {_RECORDS} from conversations)
+select 0::bigint as place, 'DONE: ' || count(*) filter (where status = 'ok') || ' ok, ' || count(*) filter (where status = 'raw_only') || ' raw-only, ' || count(*) filter (where status = 'error') || ' errored' as line from r
+union all select place, '  ' || case when status = 'ok' then '✓' when status = 'raw_only' then '○' when status = 'skipped' then '⏭' else '✗' end || ' [' || rpad(coalesce(kind, '?'), 14, ' ') || '] ' || raw
+ || case when pct_verified >= 0 then '  (' || printf('%.1f', pct_verified) || '% verified)' else '' end || case when status = 'error' then '  — ' || error[:60] else '' end from r""")
+def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.console_summary(table(spark, sf_dir, "conversations").selectExpr(f"inline(array(struct({_RECORDS})))"))
+
+
+_STORED = "'n' || cast(page_id % 50 as string) as skill_key, 'https://s/' || cast(page_id % 3 as string) as url, 'old ' || cast(page_id as string) as text"
+_SAVED = "'n' || cast(page_id as string) as skill_key, case when page_id % 5 = 0 then '' else 'https://s/1' end as url, 'new ' || cast(page_id as string) as text"
+
+
+@query(f"""with stored as (select {_STORED} from pages where page_id in (select max(page_id) from pages group by page_id % 50)), saved as (select {_SAVED} from pages),
+named as (select case when s.url <> '' and o.url <> '' and o.url <> s.url then s.skill_key || '__' || md5(s.url)[:6] else s.skill_key end as skill_key, s.url, s.text from saved s left join stored o using (skill_key))
+select skill_key, 'SKILL.md' as rel, text as content from named union all select skill_key, '.source_url', url from named where url <> ''
+union all select skill_key, 'SKILL_prev_120000.md', o.text from named join stored o using (skill_key)""")
+def skill_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saving next to what is stored: names that other sources hold, and backups."""
+    pages = table(spark, sf_dir, "pages")
+    last = pages.groupBy((F.col("page_id") % 50).alias("k")).agg(F.max("page_id").alias("page_id")).select("page_id")
+    return R.skill_files(pages.selectExpr(f"inline(array(struct({_SAVED})))"), pages.join(last, "page_id").selectExpr(f"inline(array(struct({_STORED})))"), "120000")
 
 
 # ---------------------------------------------------------------- verbatim extraction
@@ -647,9 +819,16 @@ def _docs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills(spark, sf_dir).select("source_id", F.lit("a/page.md").alias("rel"), F.col("skill_text").alias("content"))
 
 
-@query(f"""with {SKILLS_SQL} select source_id, 'a/page.md' as rel, 1 as block_count, '**## 1. Usage**' || chr(10) || chr(10) || '```python' || chr(10) || regexp_extract(skill_text, '(?s)```python\\n(.*?)\\n```', 1) || chr(10) || '```' || chr(10) as blocks from skills""")
+_FENCED = " || chr(10) || ".join(["'# H ' || source", "'intro'", "'```py'", WORD(1), "'```'", "case when doc_id % 3 = 0 then '## Second' else 'text' end", "'```'", "'# inside'", WORD(2), "'```' || case when doc_id % 5 = 0 then chr(10) || '~~~' || chr(10) || '```sh' || chr(10) || 'open ' || lang else '' end"])
+
+
+@query(f"""select doc_id as source_id, 'b/c.md' as rel, 2 as block_count, '**# H ' || source || '**' || {NL} || {NL} || '```py' || {NL} || {WORD(1)} || {NL} || '```' || {NL} || {NL}
+ || case when doc_id % 3 = 0 then '**## Second**' || {NL} || {NL} else '' end || '```' || {NL} || '# inside' || {NL} || {WORD(2)} || {NL} || '```' || {NL}
+ || case when doc_id % 5 = 0 then {NL} || '**# inside**' || {NL} || {NL} || '```sh' || {NL} || 'open ' || lang else '' end as blocks from (select doc_id, coalesce(text, '') as text, lang, source from documents)""")
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.code_blocks(_docs_files(spark, sf_dir))
+    """Headers that change, that stay, and that stand inside a block; a fence that is never closed."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return E.code_blocks(docs.selectExpr("doc_id as source_id", "'b/c.md' as rel", f"{_FENCED} as content"))
 
 
 @query(f"""with {SKILLS_SQL}, v as (select source_id, unnest(regexp_extract_all(skill_text, {sql_str(T.INLINE_IDENTIFIER)}, 1)) as v from skills)
@@ -697,15 +876,36 @@ def ruby_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.ruby_lines(_code_files(spark, sf_dir))
 
 
-@query()
+_PYTHON = """'@dec(' || {w1} || ')' || chr(10) || 'def f(a,' || chr(10) || '      b):' || chr(10) || case cast(doc_id % 5 as int) when 0 then '    \"\"\"one ' || {w2} || '\"\"\"' || chr(10) when 1 then '    \"\"\"more' || chr(10) || '    def inside():' || chr(10) || '    end\"\"\"' || chr(10)
+ when 2 then '    #' || chr(10) when 3 then '    \"\"\"' || chr(10) || 'class Never:' || chr(10) else '' end || '    return 1' || chr(10) || 'class A(B):' || chr(10) || '  x = 1' || chr(10) || '  async def g(self): pass' || chr(10) || repeat('def h(): return 2' || chr(10), cast(doc_id % 150 as int)) || 'def last('"""
+_BRACES = """'{start} f() {{' || chr(10) || '  if (x) {{ ' || {w1} || ' }}' || chr(10) || '{start} nested() {{ {{' || chr(10) || repeat('  y;' || chr(10), cast(doc_id % 70 as int)) || '}} }}' || chr(10) || '}}' || chr(10) || 'other {{' || chr(10) || '}}' || chr(10) || '{start} q = ' || {w2} || chr(10)
+ || repeat('{start} z' || chr(10), cast(doc_id % 110 as int)) || '{start} open {{' || chr(10) || 'tail }} }}' || chr(10) || 'end'"""
+_FIRST, _SECOND = "regexp_extract(text, '([a-z]+)', 1)", "regexp_extract(text, '[a-z]+ ([a-z]+)', 1)"
+_SOURCE = "case cast(doc_id % 3 as int) when 0 then " + _PYTHON.format(w1=_FIRST, w2=_SECOND) + " when 1 then " + _BRACES.format(start="export", w1=_FIRST, w2=_SECOND) + " else " + _BRACES.format(start="pub fn", w1=_FIRST, w2=_SECOND) + " end"
+_SOURCE_REL = "'a/f' || cast(doc_id as string) || case cast(doc_id % 3 as int) when 0 then '.py' when 1 then '.ts' else '.rs' end"
+
+
+@query(f"""with recursive f as (select doc_id as source_id, {_SOURCE_REL} as rel, case doc_id % 3 when 0 then 'python' when 1 then 'typescript' else 'rust' end as lang, string_split({_SOURCE}, {NL}) as l from (select doc_id, coalesce(text, '') as text from documents)),
+m as (select *, len(l) as n, list_transform(l, lambda x: case lang when 'python' then regexp_matches(ltrim(x), '^(def |async def |class |@)') when 'typescript' then regexp_matches(x, '^\\s*(export\\s|declare\\s)') else regexp_matches(x, '^\\s*pub\\s+(fn|struct|enum|trait|mod|type|const|static)\\s') end) as starts,
+  list_transform(l, lambda x: (length(x) - length(replace(x, '{{', ''))) - (length(x) - length(replace(x, '}}', '')))) as delta from f),
+-- mode 0: between blocks; 1: in a block or head; 2: at the line behind a head; 3: in a docstring
+walk as (select *, 1 as i, 0 as mode, 0 as depth, 0 as since, []::varchar[] as shown from m
+  union all
+  select source_id, rel, lang, l, n, starts, delta, i + 1, case
+      when lang <> 'python' then case when now and level <> 0 and i < n then 1 else 0 end
+      when mode = 3 then case when contains(x, '\"\"\"') or i = n then 0 else 3 end
+      when mode = 2 then case when (trim(x) <> '\"\"\"' and ends_with(trim(x), '\"\"\"')) or i = n then 0 else 3 end
+      when now then case when not ends_with(rtrim(x), ':') and i < n then 1 when i < n and starts_with(trim(l[i + 1]), '\"\"\"') then 2 else 0 end else 0 end,
+    case when now then level else 0 end, case when mode = 0 then i else since end,
+    case when lang <> 'python' then case when now and (level = 0 or i = n) then shown || (case when i - first + 1 > 50 then l[first:first + 4] || ['    // ... body elided (long) ...'] else l[first:i] end) || [''] else shown end
+      when mode >= 2 then shown || [x] || (case when i = n or (mode = 3 and contains(x, '\"\"\"')) or (mode = 2 and trim(x) <> '\"\"\"' and ends_with(trim(x), '\"\"\"')) then [''] else [] end)
+      when now then shown || [x] || (case when i = n or (ends_with(rtrim(x), ':') and not starts_with(trim(l[i + 1]), '\"\"\"')) then [''] else [] end) else shown end
+  from (select *, l[i] as x, mode = 1 or (mode = 0 and starts[i] and len(shown) < 200) as now, case when mode = 0 then 0 else depth end + delta[i] as level, case when mode = 0 then i else since end as first from walk where i <= n))
+select source_id, lang, rel, array_to_string(shown, {NL}) as content from walk where i = n + 1""")
 def code_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python and brace languages: state over lines, so compared with hand-made cases in the tests."""
-    code = (
-        "case cast(doc_id % 3 as int) when 0 then '@dec' || chr(10) || 'def f(a,' || chr(10) || '      b):' || chr(10) || '    \"\"\"doc' || chr(10) || '    \"\"\"' || chr(10) || '    return 1' "
-        "when 1 then 'export function f() {' || chr(10) || '  if (x) { y }' || chr(10) || '}' || chr(10) || 'const z = 1' else 'pub fn g();' || chr(10) || 'pub struct S {' || chr(10) || '  a: u8' || chr(10) || '}' end"
-    )
-    files = table(spark, sf_dir, "documents").selectExpr("doc_id as source_id", "'a/f' || cast(doc_id as string) || case cast(doc_id % 3 as int) when 0 then '.py' when 1 then '.ts' else '.rs' end as rel", f"{code} as content")
-    return E.signatures(files).select("source_id", "lang", "rel", "content")
+    """Decorators, docstrings of four shapes, nesting, bodies that are long or never close, and more lines than are shown; the oracle walks line by line."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return E.signatures(docs.selectExpr("doc_id as source_id", f"{_SOURCE_REL} as rel", f"{_SOURCE} as content")).select("source_id", "lang", "rel", "content")
 
 
 @query()

@@ -105,14 +105,20 @@ def test_loop(spark):
     assert len(calls) == 3 and L.with_retries(lambda s, p: (_ for _ in ()).throw(ValueError("429")))("", "") == ""
 
 
-def test_signatures():
-    assert E.python_signatures('@d\ndef f(a,\n      b):\n    """doc\n    more\n    """\n    return 1\nx = 1') == '@d\ndef f(a,\n      b):\n    """doc\n    more\n    """\n'
-    assert E.python_signatures("def f(): return 1\ny = 2") == "def f(): return 1\ny = 2\n"
-    assert E.brace_signatures("export function f() {\n  a\n}\nlet z\nexport const q = 1;", "typescript") == "export function f() {\n  a\n}\n\nexport const q = 1;\n"
-    long = "export class A {\n" + "x\n" * 60 + "}\nexport const b = 1;"
-    got = E.brace_signatures(long, "typescript").split("\n")
-    assert got[5] == "    // ... body elided (long) ..." and got[7] == "export const b = 1;"
-    assert E.ruby_signatures("class A\n  def b\n  x\nmodule C") == "class A\n  def b\nmodule C"
+def test_signatures(spark):
+    cases = {
+        "a/1.py": ('@d\ndef f(a,\n      b):\n    """doc\n    more\n    """\n    return 1\nx = 1', '@d\ndef f(a,\n      b):\n    """doc\n    more\n    """\n'),
+        "a/2.py": ("def f(): return 1\ny = 2", "def f(): return 1\ny = 2\n"),
+        "a/3.py": ("class A:\n    '''one'''\n    def g(self):\n        \"\"\"\n        never shut", "class A:\n    '''one'''\n\n    def g(self):\n        \"\"\"\n        never shut\n"),
+        "a/4.ts": ("export function f() {\n  a\n}\nlet z\nexport const q = 1;", "export function f() {\n  a\n}\n\nexport const q = 1;\n"),
+        "a/5.ts": ("export class A {\n" + "x\n" * 60 + "}\nexport const b = 1;", "export class A {\nx\nx\nx\nx\n    // ... body elided (long) ...\n\nexport const b = 1;\n"),
+        "a/6.ts": ("export a {\nexport b {\n}}\nexport c", "export a {\nexport b {\n}}\n\nexport c\n"),
+        "a/7.rb": ("class A\n  def b\n  x\nmodule C", "class A\n  def b\nmodule C"),
+    }
+    files = spark.createDataFrame([(1, k, c) for k, (c, _) in cases.items()] + [(1, "a/8.py", None), (1, "a/9.ts", "")], "source_id long, rel string, content string")
+    assert {r["rel"]: r["content"] for r in E.signatures(files).collect()} == {k: w for k, (_, w) in cases.items()}
+    few = {r["rel"]: r["content"] for r in E.signatures(files, 1).collect()}
+    assert few["a/6.ts"] == "export a {\nexport b {\n}}\n" and few["a/7.rb"] == "class A"
 
 
 def test_extraction(spark):
@@ -150,10 +156,62 @@ def test_readers(spark, tmp_path):
     assert S.crawl(pages, roots, 2).count() == 2
     got = S.fetch(roots, lambda u: {"html": "x"} if u else 1 / 0).first()
     assert got["html"] == "x" and got["error"] is None
+    tried = S.fetch(spark.createDataFrame([("https://a/x",), ("https://a/y.txt",), ("https://a/z",)], "url string"), lambda u: 1 / 0, lambda u: {"html": u, "method": "http"} if u.endswith("x") else {}["none"], text=lambda u: {"text": "t", "method": "text"})
+    got = {r["url"]: (r["method"], r["html"], r["error"]) for r in tried.collect()}
+    assert got == {"https://a/x": ("http", "https://a/x", None), "https://a/y.txt": ("text", None, None), "https://a/z": (None, None, "KeyError: 'none'")}
+    whole = spark.createDataFrame([("docs/a.txt", 10, bytearray(b"x")), ("src/b.py", 90, bytearray(b"y"))], "rel string, bytes long, content binary")
+    assert {r["rel"]: r["is_binary"] for r in S.walk(whole, (), 50).collect()} == {"docs/a.txt": True, "src/b.py": False}
     bundle = B.web_bundles(spark.createDataFrame([(1, 1, "u", "A"), (1, 2, "v", "B"), (2, 1, "w", "C")], "source_id long, place int, url string, markdown string"))
     assert {r["source_id"]: r["text"] for r in bundle.collect()}[2] == "C"
 
 
+def test_dispatch_without_tables(spark):
+    from groundling.sources.dispatch import download
+    from groundling.sources.routing import read_list, route, single_source
+
+    routed = route(spark.createDataFrame([(1, "a.org/x"), (2, "odd one"), (3, "1412.6550")], "source_id long, raw string"))
+    got = {r["source_id"]: (r["text"], r["error"]) for r in download(routed).collect()}
+    assert got == {1: (None, "nothing fetched for kind=web"), 2: (None, "Cannot download kind=unknown"), 3: (None, "nothing fetched for kind=arxiv")}
+    pages = spark.createDataFrame([], "source_id long, place int, url string, markdown string")
+    assert {r["source_id"]: r["text"] for r in download(routed, pages=pages).collect()}[1] == ""
+    assert single_source(arxiv="a", url="u") == ("a", False) and single_source(pdf="p") == ("p", True) and single_source() == (None, False)
+
+
+def test_batch_list_and_writers(spark, tmp_path):
+    from groundling.sources.routing import read_list
+
+    (tmp_path / "list.txt").write_text("# c\n\n  a.org \n1412.6550\n")
+    assert [r["raw"] for r in read_list(spark, str(tmp_path / "list.txt")).collect()] == ["a.org", "1412.6550"]
+    bundles = spark.createDataFrame([(1, "web", "t"), (2, "pdf", None)], "source_id long, kind string, text string")
+    files = spark.createDataFrame([(1, "a/b.md", "x"), (1, "../../etc/x", "bad"), (1, "..", "bad")], "source_id long, rel string, content string")
+    R.write_bundles(bundles, files, str(tmp_path / "b"))
+    assert {r["rel"] for r in spark.read.parquet(str(tmp_path / "b/files")).collect()} == {"a/b.md"} and spark.read.parquet(str(tmp_path / "b/bundles")).count() == 2
+    R.write_json(spark.createDataFrame([("web", 91.26, None)], "kind string, pct_verified double, error string"), str(tmp_path / "j"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"kind":"web","pct_verified":91.3}']
+    R.write_texts(bundles, "text", str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_registered_functions(spark):
+    from groundling.functions.register import register
+
+    register(spark)
+    html = "<style>a{}</style><p>It\\'s &amp; x&nbsp;</p><!-- c -->\n\n\n\n<b>b</b>".replace("\\", "")
+    df = spark.createDataFrame([(html, "Caf\u00c9"), (None, None)], "h string, t string")
+    rows = df.selectExpr("strip_html(h) as a", "norm_text(t) as b").collect()
+    from groundling.functions import text as X
+
+    assert rows[0]["a"] == df.select(X.strip_html(F.col("h"))).first()[0] == "It's & x\n\nb" and rows[0]["b"] == "cafe" and rows[1]["a"] is None
+
+
+def test_prompts():
+    from groundling.functions import tables as T
+    from groundling.operators.prompts import SYSTEM, with_system_prompts
+
+    seen = with_system_prompts(lambda s, p: f"{s}|{p}")
+    assert set(SYSTEM) == {"paper", "repo", "web", "repair"} and seen("web", "x") == SYSTEM["web"] + "|x" and seen("own", "x") == "own|x" and T.PAPER_KINDS
+
+
 def test_streaming(spark, tmp_path):
     from groundling.streaming.ingest import each_batch, routed_stream
 

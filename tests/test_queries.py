@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from groundling.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SMALL = ["route_sources", "url_facts", "links_extract", "strip_html_pages", "pack_greedy", "claims_extract", "section_stats", "code_blocks", "repo_walk", "repo_trees", "verify_passages"]
+SMALL = ["route_sources", "url_facts", "links_extract", "strip_html_pages", "pack_greedy", "claims_extract", "section_stats", "code_blocks", "repo_walk", "repo_trees", "verify_passages", "code_signatures", "notebooks_flat", "source_dispatch", "verification_reports"]
 
 
 def canon(v):

@@ -873,7 +873,7 @@ def entry_points_and_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 x as (select source_id, rel, unnest(l) as line, generate_subscripts(l, 1) as pos from f), k as (select *, row_number() over (partition by source_id, rel order by pos) as n from x where regexp_matches(ltrim(line), '^(class |module |def )'))
 select source_id, rel, n::int as n, line from k where n <= 200""")
 def ruby_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.ruby_lines(_code_files(spark, sf_dir))
+    return E.ruby_lines(_code_files(spark, sf_dir)).select("source_id", "rel", "n", "line")
 
 
 _PYTHON = """'@dec(' || {w1} || ')' || chr(10) || 'def f(a,' || chr(10) || '      b):' || chr(10) || case cast(doc_id % 5 as int) when 0 then '    \"\"\"one ' || {w2} || '\"\"\"' || chr(10) when 1 then '    \"\"\"more' || chr(10) || '    def inside():' || chr(10) || '    end\"\"\"' || chr(10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -19,8 +20,18 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f``, after which the worker, which lives on for other tasks, gives back the memory that it no longer uses."""
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no glibc
+            pass
+
+    return run
 
 
 #: Bytes of an Arrow batch: a worker and the machine that feeds it hold little, however long the texts.
@@ -71,13 +82,13 @@ class MemoTokenizer:
 
     GROUP = 1 << 20
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, entries: int = MEMO_ENTRIES):
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.spaced = kind == "space_prefix"
+        self.spaced, self.entries = kind == "space_prefix", entries
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 65536 else "<u4"
         self.sizes = np.zeros(self.tok.get_vocab_size(), np.int64)
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
@@ -157,7 +168,7 @@ class MemoTokenizer:
     def _group(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        if len(self.memo) > MEMO_ENTRIES // 2:
+        if len(self.memo) > self.entries // 2:
             self.old, self.memo = self.memo, {}
         at, keys = self.chunks(texts)
         coded = keys.flatten().dictionary_encode()
@@ -195,13 +206,14 @@ _ODD_SPACE = re.compile(r"[^\S \n]")
 _WORD_SIGNS = regex.compile(r"([\n\0]?\p{L}+)([!-/:-@\[-`{-~]+)").fullmatch
 
 
-def tokenizer(path: str, kind: str) -> MemoTokenizer:
-    """One per Python worker."""
+def tokenizer(path: str, kind: str, entries: int = MEMO_ENTRIES) -> MemoTokenizer:
+    """One per Python worker, with a memo of at most ``entries``."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, kind) not in _TOKENIZERS:
         _TOKENIZERS[path, kind] = MemoTokenizer(path, kind)
+    _TOKENIZERS[path, kind].entries = entries
     return _TOKENIZERS[path, kind]
 
 

@@ -18,7 +18,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts_of
+from .common import small_batches, texts_of, tidied
 
 #: Share of an item's characters that may be edited; items shorter than this match exactly, on word borders, or else by chance.
 ERROR_RATE, MIN_ITEM_CHARS = 0.1, 20
@@ -253,5 +253,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
             for batch in batches:
                 yield batch.filter(pa.array([not items.matches(normalise(t), True) for t in texts_of(batch)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

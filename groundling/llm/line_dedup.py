@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, small_batches, texts_of
+from .common import cut, free_names, small_batches, texts_of, tidied
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -132,7 +132,7 @@ def _hashes(min_chars: int):
 
 def line_index(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
     """The shards (shard, size, lines, blob) over the keys of more than one document, and the shard number's bits."""
-    lines = docs.select("doc_id", "text").mapInArrow(_hashes(min_chars), "hi long, lo long, doc_id long")
+    lines = docs.select("doc_id", "text").mapInArrow(tidied(_hashes(min_chars)), "hi long, lo long, doc_id long")
     lines = lines.where("doc_id is not null").distinct()  # a doc_id that repeats counts once for a key
     keys = cut(lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where("n > 1"), "line-keys")
     bits = max(MIN_BITS, int(np.ceil(np.log2(max(1, keys.count()) / shard_keys))))
@@ -223,7 +223,7 @@ def _apply(docs: DataFrame, make, schema, min_chars: int, min_docs: int, broadca
             for batch in batches:
                 yield make(batch, _dropped(batch, min_chars, min_docs, probe))
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidied(run), schema)
     return _apply_far(docs, shards, bits, make, schema, min_chars, min_docs)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, texts_of, tokenizer
+from .common import MEMO_ENTRIES, cut, small_batches, texts_of, tidied, tokenizer
 
 MAX_TOKENS, OPEN_BINS, END_ID = 4096, 2048, 1
 #: Fill from which a sequence stays as it is; pieces that one task packs again.
@@ -61,9 +61,9 @@ class BestFit:
         return b, self.capacity - space
 
 
-def _pack(tokenizer_path: str, capacity: int, open_bins: int, end_id: int, with_ids: bool):
+def _pack(tokenizer_path: str, capacity: int, open_bins: int, end_id: int, with_ids: bool, memo: int):
     def run(batches):
-        tok = tokenizer(tokenizer_path, "space_dropped")
+        tok = tokenizer(tokenizer_path, "space_dropped", memo)
         packer, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
@@ -99,17 +99,17 @@ def _pack_again(capacity: int, open_bins: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS, end_id: int = END_ID, with_ids: bool = False, again_rows: int = AGAIN_ROWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS, end_id: int = END_ID, with_ids: bool = False, again_rows: int = AGAIN_ROWS, memo: int = MEMO_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids.
 
     ``ids`` is binary, little-endian unsigned 32-bit.  A null or empty text is the end id alone.  Only documents longer
     than ``max_tokens`` are cut, into pieces of that length but the last.  Of bins with the same space left the one that
     got its last piece latest is taken.  Rows that repeat a doc_id are packed as documents of their own; a null doc_id
     stays null.  A text of any length is tokenised whole.  An empty table gives no rows; columns other than doc_id and
-    text are ignored, whatever their names.
+    text are ignored, whatever their names.  ``memo``: words that a worker remembers.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
-    rows = small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_pack(tokenizer_path, max_tokens, open_bins, end_id, with_ids), schema)
+    rows = small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(tidied(_pack(tokenizer_path, max_tokens, open_bins, end_id, with_ids, memo)), schema)
     rows = cut(rows, "packed")
     fill = rows.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count(F.lit(1)).alias("pieces"))
     loose = cut(fill.where(F.col("fill") < TIGHT * max_tokens).select("sequence_id", "pieces"), "loose")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import small_batches, texts_of, tidied
 from .langid import bottom, fold
 from .ngrams import Indicators
 
@@ -162,7 +162,7 @@ def keep_good(docs: DataFrame, model: NbSvm, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             yield batch.filter(pa.array([s >= threshold for s in _scores(shared.value, texts_of(batch), own)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_per_class: int = SAMPLE_PER_CLASS) -> NbSvm:

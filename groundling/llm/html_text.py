@@ -7,7 +7,8 @@ Wrappers merge like pages do, so each task folds its own pages first and a host
 
 What is kept of a page: inside its main element (or article, or what is marked as one) all blocks but those of elements
 that say they are something else (menus, forms, adverts, comments ...) and those whose slot has the same text in all of
-the host's pages, if enough of these differ; nothing inside an article is taken for fixed.  What only its class or id marks as something else
+the host's pages, if enough of these differ; nothing inside an article or a main element is taken for fixed, and there
+only names count that can mean nothing else.  What only its class or id marks as something else
 is not that if it holds most of the host's varied text, or the page's only main element or article.  In a page without such an element the wrapper tells the main subtree: the smallest that holds most of
 the text that varies and is no link.
 """
@@ -45,13 +46,21 @@ OTHER = re.compile(
     r"comment|comments|commentlist|respond|reply|replies|disqus|discussion|share|sharing|social|related|recommended|recommendations|teaser|teasers|newsletter|subscribe|subscription|signup|login|search|searchbox|form|copyright|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Those that mean the same inside an article, if a class is made of nothing else: other names there are the article's own.
+SURE = set(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager "
+    "sidebar footer masthead topbar toolbar comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations teaser teasers newsletter subscribe subscription signup login searchbox "
+    "widget widgets copyright header".split()
+)
+PLAIN = set("box bar block area list section wrap wrapper container inner outer content item items links buttons button link top bottom left right main form text title slot unit widget post page site inline large small".split())
 #: Those of the head of a page or article, whose headings count inside the main text.
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|story|entry|main|content|maincontent)(?:$|[\s_-])", re.I)
 #: Bytes of wrappers that are sent to all tasks; different pages a host must have before a text counts as fixed.
 BROADCAST_BYTES, FIXED_PAGES = 16 << 20, 8
-_MAX_DEPTH = 200
+#: Elements nested deeper are read as part of the one above them, except those that decide what is main text, down to twice that.
+_MAX_DEPTH = 150
 #: The slot of a page itself.
 ROOT = 1
 
@@ -59,12 +68,12 @@ ROOT = 1
 class Node:
     """An element of a page; ``kids`` are elements and strings."""
 
-    __slots__ = ("tag", "sig", "kids", "other", "named", "head", "main")
+    __slots__ = ("tag", "sig", "kids", "other", "named", "head", "main", "names")
 
     def __init__(self, tag: str, attrs: dict):
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".strip()
         role = (attrs.get("role") or "").lower()
-        self.tag, self.kids = tag, []
+        self.tag, self.kids, self.names = tag, [], names
         self.sig = f"{tag}.{'.'.join(sorted((attrs.get('class') or '').lower().split()))}" if attrs.get("class") else tag
         hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
         own = tag in NEVER or role in ROLES or hidden
@@ -79,6 +88,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.stack = [self.root]
+        self.tags = [""]  # of open elements; those that share a node have a tag of their own
 
     def _text(self, s: str) -> None:
         kids = self.stack[-1].kids
@@ -88,27 +98,33 @@ class _Tree(HTMLParser):
             kids.append([s])
 
     def _pop_to(self, at: int) -> None:
-        del self.stack[at:]
+        del self.stack[at:], self.tags[at:]
 
     def handle_starttag(self, tag, attrs):
-        stack = self.stack
+        stack, tags = self.stack, self.tags
         if tag in CLOSES_P:  # an open paragraph ends here, with whatever inline elements it has
             k = len(stack) - 1
-            while k > 0 and (stack[k].tag in INLINE):
+            while k > 0 and (tags[k] in INLINE):
                 k -= 1
-            if stack[k].tag == "p" or (tag in HEADINGS and stack[k].tag in HEADINGS):
+            if tags[k] == "p" or (tag in HEADINGS and tags[k] in HEADINGS):
                 self._pop_to(k)
         if tag in ITEMS:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ITEMS[tag]:
+                if tags[k] in ITEMS[tag]:
                     self._pop_to(k)
                     break
-                if stack[k].tag in SCOPES[tag]:
+                if tags[k] in SCOPES[tag]:
                     break
-        node = Node(tag, dict(attrs))
-        stack[-1].kids.append(node)
-        if tag not in VOID and len(stack) < _MAX_DEPTH:  # what is nested deeper stays on one level
-            stack.append(node)
+        node, depth = Node(tag, dict(attrs)), len({id(n) for n in stack}) if len(stack) > _MAX_DEPTH else len(stack)
+        if tag in VOID:
+            stack[-1].kids.append(node)
+        elif depth < _MAX_DEPTH or depth < 2 * _MAX_DEPTH and (node.main > 1 or node.other or tag in BLOCKS):
+            stack[-1].kids.append(node)
+            stack.append(node), tags.append(tag)
+        else:
+            if tag not in INLINE:  # a block of its own, though it has no node
+                stack[-1].kids.append(Node("hr", {}))
+            stack.append(stack[-1]), tags.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.stack[-1].kids.append(Node(tag, dict(attrs)))
@@ -117,13 +133,15 @@ class _Tree(HTMLParser):
         if tag in VOID:
             return
         for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
+            if self.tags[k] == tag:
+                if self.stack[k] is self.stack[k - 1] and tag not in INLINE:
+                    self.stack[k].kids.append(Node("hr", {}))
                 return self._pop_to(k)
-            if tag in INLINE and self.stack[k].tag not in INLINE:
+            if tag in INLINE and self.tags[k] not in INLINE:
                 return
 
     def handle_data(self, data):
-        if self.stack[-1].tag not in RAW:
+        if self.tags[-1] not in RAW and self.stack[-1].tag not in RAW:
             self._text(data)
 
 
@@ -136,6 +154,7 @@ def parse(page: str) -> Node:
         p._text(html.unescape(re.sub(r"<[^>]*>?", " ", p.rawdata)))
     for node in _all(p.root):
         node.kids = ["".join(k) if isinstance(k, list) else k for k in node.kids]
+    _own_names(p.root)
     return p.root
 
 
@@ -320,7 +339,7 @@ def fixed_texts(w: Wrapper) -> set[int]:
 def _blocks(node: Node, at: int, fixed: frozenset, out: list[str], heads_only: bool = False) -> None:
     """Blocks in page order without the fixed ones.  A header inside the main text gives its headings only."""
     held: list[str] = []
-    slots: set[int] = set()  # 0: inside an article, where nothing is fixed
+    slots: set[int] = set()  # 0: inside an article or main element, where nothing is fixed
 
     def flush():
         if (t := tidy("".join(held))) and not (fixed and len(slots) == 1 and (slot := next(iter(slots))) and _hash(t, slot) in fixed):
@@ -347,7 +366,7 @@ def _blocks(node: Node, at: int, fixed: frozenset, out: list[str], heads_only: b
             elif k.tag in INLINE:
                 walk(k, heads, at)
             else:
-                slot = 0 if k.main == 2 or not at else _hash(k.sig, at)
+                slot = 0 if k.main > 1 or not at else _hash(k.sig, at)
                 if k.tag in ("td", "th"):
                     held.append(" ")
                     walk(k, heads, slot)
@@ -357,7 +376,7 @@ def _blocks(node: Node, at: int, fixed: frozenset, out: list[str], heads_only: b
                     walk(k, (heads or k.tag == "header") and k.tag not in HEADINGS, slot)
                     flush()
 
-    walk(node, heads_only, 0 if node.main == 2 else at)
+    walk(node, heads_only, 0 if node.main > 1 else at)
     flush()
 
 
@@ -372,7 +391,7 @@ def _mains(root: Node) -> list[tuple[Node, int]]:
         if n.main and n.main not in inside:
             found.setdefault(n.main, []).append((n, at))
             inside = inside | {n.main}
-        if n.main == 2:
+        if n.main > 1:
             at = 0
         stack += [(k, at if k.tag in INLINE or not at else _hash(k.sig, at), inside) for k in reversed(n.kids) if isinstance(k, Node)]
     for kind in (3, 2, 1):
@@ -381,6 +400,26 @@ def _mains(root: Node) -> list[tuple[Node, int]]:
     return []
 
 
+def _sure(names: str) -> bool:
+    """Whether one of the classes is made of sure words, and plain ones beside them, only."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if any(w in SURE for w in words) and all(w in SURE or w in PLAIN or w.isdigit() for w in words):
+            return True
+    return False
+
+
+def _own_names(root: Node) -> None:
+    """Inside an article or main element a name that may mean something else marks nothing."""
+    stack = [(root, False)]
+    while stack:
+        n, inside = stack.pop()
+        if inside and n.named and not _sure(n.names):
+            n.named = n.other = n.head = False
+        inside = inside or n.main > 1
+        stack += [(k, inside) for k in n.kids if isinstance(k, Node)]
+
+
 def _own_chars(node: Node) -> int:
     """Characters of text that is no link, in what is no other element."""
     return sum(len(tidy(k)) if isinstance(k, str) else 0 if k.other or k.tag == "a" else _own_chars(k) for k in node.kids)

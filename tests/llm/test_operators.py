@@ -262,7 +262,7 @@ def test_lm_scores(docs, empty):
                     break
         want[i, len(w), round(s, 6)] += 1
     for bytes_ in (lm_score.CHUNK_BYTES, 500):
-        got = Counter((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lm_score.lm_scores(docs, chunk_bytes=bytes_).collect())
+        got = Counter((r["doc_id"], r["n_words"], round(r["log_sum"], 6)) for r in lm_score.lm_scores(docs, chunk_bytes=bytes_).collect())
         assert got == want
     assert lm_score.lm_scores(empty).count() == 0
 

@@ -24,8 +24,8 @@ def test_html_copied_pages_keep_their_text(spark):
     rows = [(i, "http://copies.a/x", bare) for i in range(12)] + [(20 + i, None, article) for i in range(12)]
     # nearly copies: a short part differs, so that pages are different
     rows += [(40 + i, "http://near.a/x", bare.replace("</div>", f"<p>no. {i}</p></div>")) for i in range(12)]
-    # the same text in a fixed slot and in the article: only the slot's goes
-    rows += [(60 + i, "http://slot.a/x", f"<body><main><article><h1>Title {i}</h1><p>Join us</p><p>Own text number {i} {'q' * 40}</p></article><div><p>Join us</p></div></main></body>") for i in range(12)]
+    # the same text in a fixed slot and in the article: nothing of the article goes
+    rows += [(60 + i, "http://slot.a/x", f"<body><div><article><h1>Title {i}</h1><p>Join us</p><p>Own text number {i} {'q' * 40}</p></article><div><p>Join us</p></div></div></body>") for i in range(12)]
     got = texts(spark, rows)
     assert all(got[i] == whole and got[20 + i] == whole and got[40 + i] == f"{whole}\nno. {i}" for i in range(12))
     assert all(got[60 + i] == f"Title {i}\nJoin us\nOwn text number {i} {'q' * 40}" for i in range(12))
@@ -107,8 +107,10 @@ def test_pipeline_drops_near_copies(spark):
         least.append(min((rows[j][0] for j in seen if rows[j][0] is not None), default=None))
     want = Counter(r for r, c in zip(rows, least) if r[0] == c)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for n in (near_text.BROADCAST_ROWS, -1):
+    for n, texts_, shingles_ in ((near_text.BROADCAST_ROWS, 2048, 1 << 20), (-1, 3, 200)):
+        near_text.BLOCK_TEXTS, near_text.BLOCK_SHINGLES = texts_, shingles_
         assert Counter(map(tuple, near_text.keep_one(df, broadcast_rows=n).collect())) == want
+    near_text.BLOCK_TEXTS, near_text.BLOCK_SHINGLES = 2048, 1 << 20
     assert Counter(map(tuple, corpus_pipeline.drop_near_copies(spark, df, "").collect())) == want
     assert near_text.keep_one(df.limit(0)).count() == 0
 
@@ -127,6 +129,18 @@ def test_html_names_do_not_drop_the_main_text(spark):
     assert got == {n: f"T{n % 100}\n{word(n % 100).strip()}" for n, _, _ in rows}
 
 
+def test_html_keeps_what_is_the_articles_own(spark):
+    """Lines that all pages of a host have, classes that only look like other matter, and deep nesting, in the article."""
+    rows = [(i, "http://same.x/y", f"<body><nav>m</nav><main><h2>Summary</h2><p>About the thing number {i}</p><p>Read on below</p></main></body>") for i in range(12)]
+    rows += [(20 + i, "http://names.x/y", f'<body><article><h1>T{i}</h1><div class="side effects">Nausea {i}</div><div class="form">A form of verse</div><div class="share-prices">Up {i}</div><div class="ad-box">Buy</div><div class="comments">nice</div></article></body>') for i in range(12)]
+    for k, depth in enumerate((100, 180, 400, 3000)):
+        rows.append((40 + k, "http://deep.x/y", "<div>" * depth + f"<article><h1>Head {k}</h1><p>Deep <b>down</b></p></article>" + "</div>" * depth + "<footer>f</footer>"))
+        rows.append((50 + k, "http://deep.x/z", "<body><article><h1>Head</h1>" + "<div><span>" * depth + "<p>Deep</p>" + "</span></div>" * depth + "<p>after</p></article><footer>f</footer></body>"))
+    got = texts(spark, rows)
+    assert all(got[i] == f"Summary\nAbout the thing number {i}\nRead on below" and got[20 + i] == f"T{i}\nNausea {i}\nA form of verse\nUp {i}" for i in range(12))
+    assert all(got[40 + k] == f"Head {k}\nDeep down" and got[50 + k] == "Head\nDeep\nafter" for k in range(4)), [got[k] for k in (40, 41, 42, 43, 50, 51, 52, 53)]
+
+
 def test_html_long_comments_stay_out_of_an_article(spark):
     page = '<body><article><h1>T{0}</h1><p>Own text of page {0}</p><div class="comments"><p>{1}</p></div></article></body>'
     got = texts(spark, [(i, "http://talk.x/y", page.format(i, f"comment {i} and more " * 5)) for i in range(10)])

@@ -4,7 +4,10 @@ Texts are written once in chunks.  Each chunk sends its distinct n-grams of ever
 n-gram's hash; there the chunks' tables add up to the corpus counts, and each chunk gets back the counts of the n-grams
 it asked for (a semi-join: n-grams travel once a chunk, not once an occurrence).  Joined again by chunk, counts meet the
 exploded n-grams of its documents and are summed per document.  An n-gram that a third of all documents hold is one
-entry a chunk.  Tables are sorted hashes in delta-coded, compressed blocks.
+entry a chunk.  Tables are sorted hashes in delta-coded, compressed blocks, one for a chunk and bucket that have n-grams in
+common, so there are never more of them than n-grams; the number of buckets grows with the corpus, from ``MANY_BUCKETS``
+on with its square root.  (As rows of Spark's own, counted and joined by it, the n-grams took more disk than there may
+be: over 4.5 times the input.)
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from .common import cut, small_batches, texts_of
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a chunk (one longer text is a chunk of its own) and, on average at most, behind a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 10 << 20, 64 << 20
+#: From so many buckets on their number grows with the square root of the corpus.
+MANY_BUCKETS = 1 << 12
 _HASH_BITS = 56
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -134,8 +139,11 @@ def _asked(order: int, buckets: int):
                 c = Chunk(_docs(blob.as_py())[1], order, False)
                 ends = c.by_bucket(buckets)
                 for at in range(0, buckets, 64):
-                    found, rows = list(range(at, min(buckets, at + 64))), []
-                    for b in found:
+                    found, rows = [], []
+                    for b in range(at, min(buckets, at + 64)):
+                        if not any(e[b + 1] > e[b] for e in ends):
+                            continue  # nothing is asked there
+                        found.append(b)
                         own = []
                         for g, n, e in zip(c.grams, c.counts, ends):
                             x = g[e[b] : e[b + 1]]
@@ -221,7 +229,7 @@ def _scored(order: int, buckets: int, words: int, backoff: float, unseen: float)
             del texts
             totals = [np.concatenate([_unzip(a[o]) for a in answers]) if answers else np.zeros(0, np.uint64) for o in range(order)]
             s = score_chunk(c, totals, words, backoff, unseen)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c.sizes), pa.array(s), pa.array(s / np.maximum(c.sizes, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c.sizes), pa.array(s), pa.array(s / np.maximum(c.sizes, 1))], ["doc_id", "n_words", "log_sum", "log_score"])
 
         for batch in batches:
             for bucket, docs, blocks in zip(batch.column("bucket").to_pylist(), batch.column("docs"), batch.column("blocks")):
@@ -238,21 +246,22 @@ def _scored(order: int, buckets: int, words: int, backoff: float, unseen: float)
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, unseen: float = UNSEEN, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, log_score, mean_log_score.
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, log_sum, log_score.
 
     A word's score is count(n-gram) / count(n-gram without the word) of the longest n-gram of up to ``order`` words
     ending in it that other documents hold, times ``backoff`` for each order left out; a word that no other document
     holds counts as ``unseen`` occurrences among the words of all others.  Counts are those of all documents less the
-    document's own.  log_score sums natural logs over the text; texts that are null or have no word have 0 words and
-    scores 0.  Rows that repeat are documents of their own, and know each other's n-grams; an empty table gives no
+    document's own.  log_sum adds natural logs over the text, log_score is that a word, by which texts of unlike length
+    compare; texts that are null or have no word have 0 words and scores 0.  Texts are read whole.  Rows that repeat are documents of their own, and know each other's n-grams; an empty table gives no
     rows; other columns, whatever their names, are ignored.
     """
     spark = small_batches(docs).sparkSession
     chunks = cut(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_chunks(chunk_bytes), "chunk long, words long, bytes long, docs binary"), "lm-chunks")
     words, size = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))
+    wanted = math.ceil(size / bucket_bytes)
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), wanted if wanted < MANY_BUCKETS else math.ceil(math.sqrt(MANY_BUCKETS * wanted)))
     asked = chunks.select("chunk", "docs").mapInArrow(_asked(order, buckets), "bucket int, chunk long, blocks array<binary>")
     answered = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answered(order), "chunk long, bucket int, blocks array<binary>")
     both = answered.select("chunk", "bucket", F.lit(None).cast("binary").alias("docs"), "blocks").union(chunks.select("chunk", F.lit(-1).alias("bucket"), "docs", F.lit(None).cast("array<binary>").alias("blocks")))
     met = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").select("bucket", "docs", "blocks")
-    return met.mapInArrow(_scored(order, buckets, words, backoff, unseen), "doc_id long, n_words long, log_score double, mean_log_score double")
+    return met.mapInArrow(_scored(order, buckets, words, backoff, unseen), "doc_id long, n_words long, log_sum double, log_score double")

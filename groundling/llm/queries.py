@@ -35,7 +35,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm_score.lm_scores(_read(spark, sf_dir, "documents"))
-    return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("log_sum", 3).alias("log_sum"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +117,8 @@ with tokens as (
     else least(i - 1, 2) * ln(0.4) + ln(greatest(c1, 0.5)) - ln(greatest(others, 1)) end as lp
   from context
 ), sums as (select doc_id, count(*) as n_words, sum(lp) as s from scored group by doc_id)
-select d.doc_id, coalesce(n_words, 0)::bigint as n_words, round(coalesce(s, 0.0)::double, 3) as log_score,
-       round(coalesce(s / n_words, 0.0)::double, 6) as mean_log_score
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, round(coalesce(s, 0.0)::double, 3) as log_sum,
+       round(coalesce(s / n_words, 0.0)::double, 6) as log_score
 from documents d left join sums using (doc_id)
 """,
 }

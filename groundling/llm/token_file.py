@@ -22,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, small_batches, texts_of, tokenizer
+from .common import cut, scratch, small_batches, texts_of, tidied, tokenizer
 
 MAX_BITS, STEP, BLOCK_IDS, END_ID = 16, 128, 1 << 18, 0
+#: Words that a worker remembers.
+MEMO_WORDS = 1_200_000
 
 
 # ---------------------------------------------------------------- codes
@@ -209,9 +211,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     their names.
     """
     spark = small_batches(docs).sparkSession
-    tok = tokenizer(tokenizer_path, "space_prefix")
+    tok = tokenizer(tokenizer_path, "space_prefix", MEMO_WORDS)
     vocabulary = tok.tok.get_vocab_size()
-    ids = cut(docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer_path, end_id), "doc_id long, n long, ids binary"), "token-ids")
+    ids = cut(docs.select("doc_id", "text").mapInArrow(tidied(_tokens(tokenizer_path, end_id)), "doc_id long, n long, ids binary"), "token-ids")
     counts = np.zeros(vocabulary, np.int64)
     for r in ids.select("ids").mapInArrow(_histogram(vocabulary, tok.dtype), "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect():
         counts[r["id"]] = r["count"]

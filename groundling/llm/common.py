@@ -115,7 +115,7 @@ class MemoTokenizer:
         new = [k for k in new if k]
         words: dict[str, None] = {}
         for k in new:
-            if "\u0130" not in k and (m := _WORD_SIGNS(k)):  # its lower case has a mark that is no letter
+            if k[-1] in _SIGNS and "\u0130" not in k and (m := _WORD_SIGNS(k)):  # its lower case has a mark that is no letter
                 a, b = m.groups()
                 b = first + b
                 both.append((k, a, b))
@@ -141,7 +141,7 @@ class MemoTokenizer:
             made = self.tok.normalizer.normalize_str(joined).split(" ")
         (e,) = self.tok.encode_batch_fast([joined], add_special_tokens=False)
         ids = np.array(e.ids, dtype=self.dtype)
-        ends = np.cumsum(np.fromiter((len(x.encode()) for x in made), np.int64, len(made)))
+        ends = np.cumsum(pc.binary_length(pa.array(made, pa.large_string())).to_numpy())
         cum = np.cumsum(self.sizes[ids])
         at = np.searchsorted(cum, ends)
         if len(made) == len(words) and len(cum) and at[-1] < len(cum) and (cum[at] == ends).all():
@@ -203,6 +203,7 @@ class MemoTokenizer:
 _SEPARATORS = re.compile("[\0\x1c-\x1f]")
 _OTHER_SPACE = re.compile("[^\\S\x20\x09-\x0d]|\0")
 _ODD_SPACE = re.compile(r"[^\S \n]")
+_SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _WORD_SIGNS = regex.compile(r"([\n\0]?\p{L}+)([!-/:-@\[-`{-~]+)").fullmatch
 
 

@@ -132,7 +132,7 @@ def decode(bits: bytes, checks: bytes, n: int, table: np.ndarray) -> np.ndarray:
 
 def _tokens(path: str, end_id: int):
     def run(batches):
-        tok = tokenizer(path, "space_prefix")
+        tok = tokenizer(path, "space_prefix", MEMO_WORDS)
         end = np.array([end_id], tok.dtype).tobytes()
         for batch in batches:
             ids = [x + end for x in tok.encode(texts_of(batch))]
@@ -211,7 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     their names.
     """
     spark = small_batches(docs).sparkSession
-    tok = tokenizer(tokenizer_path, "space_prefix", MEMO_WORDS)
+    tok = tokenizer(tokenizer_path, "space_prefix")
     vocabulary = tok.tok.get_vocab_size()
     ids = cut(docs.select("doc_id", "text").mapInArrow(tidied(_tokens(tokenizer_path, end_id)), "doc_id long, n long, ids binary"), "token-ids")
     counts = np.zeros(vocabulary, np.int64)

@@ -16,12 +16,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import free_names, small_batches, texts_of
 from .ngrams import counts
 
 SIZES, BITS, CLUSTERS = (2, 3), 13, 4
 #: Bounds of what the centroids are fitted on: rows of a language, and languages.
 SAMPLE_PER_LANG, MAX_LANGS = 500, 400
+#: Groups of tasks whose candidates for a sample are ranked apart.
+GROUPS = 16
 #: Share of a centroid's training texts that are nearest to it: what is further away than all of these is rejected.
 REJECT_SHARE = 0.995
 UNDETERMINED = "und"
@@ -104,9 +106,17 @@ class Centroids:
 
 
 def bottom(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of each value of ``by``; Spark cuts every task's groups to ``k`` rows before it shuffles them."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
+    """The first ``k`` rows of each value of ``by``, whatever the tasks they come from.
+
+    Spark cuts every task's rows of a value to ``k`` before it shuffles them; those of ``GROUPS`` groups of tasks are ranked
+    apart first, so that the one task that ranks a value at last reads ``k`` rows a group, however many tasks there are.
+    """
+    place, group = free_names(rows, "place", "group")
+
+    def first(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= k).drop(place)
+
+    return first(first(rows.withColumn(group, F.spark_partition_id() % GROUPS), by, group).drop(group), by)
 
 
 def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, clusters: int = CLUSTERS, max_langs: int = MAX_LANGS) -> Centroids:

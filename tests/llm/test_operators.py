@@ -332,6 +332,16 @@ def test_quality_and_language_against_brute_force(spark, monkeypatch):
             assert lang == "und"
 
 
+def test_bottom_is_that_of_the_whole_table(spark):
+    """From more tasks than groups, with ties, nulls and names that clash."""
+    rng = random.Random(17)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(200), i, 1) for i in range(2000)] + [("c", 5, 9000, 1)]
+    df = spark.createDataFrame(rows, "lang string, x int, i int, _place0 int").repartition(40)
+    got = langid.bottom(df, "lang", [df["x"], df["i"]], 30)
+    want = [r for lang in ("a", "b", "c", None) for r in sorted((r for r in rows if r[0] == lang), key=lambda r: r[1:])[:30]]
+    assert got.columns == df.columns and Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_language_ties_take_the_first_name():
     x = langid._tf(["the house", "the house"])
     model = langid.Centroids.fit(["zz", "aa"], x)

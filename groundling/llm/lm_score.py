@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, texts_of
+from .common import BATCH_BYTES, cut, give_back, small_batches, texts_of, tidied
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a chunk (one longer text is a chunk of its own) and, on average at most, behind a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 10 << 20, 64 << 20
 #: From so many buckets on their number grows with the square root of the corpus.
 MANY_BUCKETS = 1 << 12
+#: Words whose documents are taken together when a document's own n-grams are taken off.
+OWN_WORDS = 1 << 18
 _HASH_BITS = 56
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -51,11 +53,21 @@ def _unzip(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """For each number its place among the distinct ones, sorted."""
+    by = np.argsort(x)
+    y = x[by]
+    rank = np.empty(len(x), np.int32)
+    rank[by] = np.cumsum(np.concatenate([[False], y[1:] != y[:-1]])[: len(y)], dtype=np.int32)
+    return rank
+
+
 class Chunk:
     """The n-grams of a chunk's documents.
 
-    ``grams[o]``: sorted distinct hashes of order o + 1; ``counts[o]``; ``own[o]``: for each word that ends an n-gram of
-    the order its place in ``grams[o]``; ``doc``: the document of each word; ``place``: the word's place in it.
+    ``doc``: the document of each word; ``place``: the word's place in it.  Without ``places``, ``grams[o]``: sorted
+    distinct hashes of order o + 1, and ``counts[o]``; with ``places``, ``own[o]`` only: for each word that ends an
+    n-gram of the order its place among those hashes.  Neither side needs the other's, and a worker holds little.
     """
 
     def __init__(self, texts: list[str], order: int, places: bool):
@@ -80,23 +92,25 @@ class Chunk:
         for o in range(order):
             if o == 0:  # by the words' numbers, without sorting all words
                 by = np.argsort(word >> np.uint64(64 - _HASH_BITS), kind="stable")
-                rank = np.empty(len(by), np.int32)
-                rank[by] = np.arange(len(by), dtype=np.int32)
-                self.grams.append((word >> np.uint64(64 - _HASH_BITS))[by])
-                self.counts.append(np.bincount(ids, minlength=len(word))[by] if len(ids) else np.zeros(0, np.int64))
-                self.own.append(rank[ids] if places else None)
+                if places:
+                    rank = np.empty(len(by), np.int32)
+                    rank[by] = np.arange(len(by), dtype=np.int32)
+                    self.own.append(rank[ids])
+                else:
+                    self.grams.append((word >> np.uint64(64 - _HASH_BITS))[by])
+                    self.counts.append(np.bincount(ids, minlength=len(word))[by] if len(ids) else np.zeros(0, np.int64))
                 continue
             with np.errstate(over="ignore"):
                 h = np.concatenate([h[:1], h[:-1]]) * _M1 + first
-                h = (h ^ (h >> np.uint64(29))) * _M2
+                h ^= h >> np.uint64(29)
+                h *= _M2
                 h ^= h >> np.uint64(32)
             x = h[self.place >= o] >> np.uint64(64 - _HASH_BITS)
             if places:
-                grams, own, counts = np.unique(x, return_inverse=True, return_counts=True)
-                own = own.astype(np.int32)
+                self.own.append(_ranks(x))
             else:
-                (grams, counts), own = np.unique(x, return_counts=True), None
-            self.grams.append(grams), self.counts.append(counts), self.own.append(own)
+                grams, counts = np.unique(x, return_counts=True)
+                self.grams.append(grams), self.counts.append(counts)
 
     def by_bucket(self, buckets: int):
         """For each order the ends of the buckets' shares of ``grams``."""
@@ -137,19 +151,28 @@ def _asked(order: int, buckets: int):
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("docs")):
                 c = Chunk(_docs(blob.as_py())[1], order, False)
-                ends = c.by_bucket(buckets)
-                for at in range(0, buckets, 64):
-                    found, rows = [], []
-                    for b in range(at, min(buckets, at + 64)):
-                        if not any(e[b + 1] > e[b] for e in ends):
-                            continue  # nothing is asked there
-                        found.append(b)
-                        own = []
-                        for g, n, e in zip(c.grams, c.counts, ends):
-                            x = g[e[b] : e[b + 1]]
-                            own += [_zip(np.diff(x, prepend=np.uint64(0))), _zip(n[e[b] : e[b + 1]])]
-                        rows.append(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([chunk] * len(found), pa.int64()), pa.array(rows, pa.list_(pa.binary()))], ["bucket", "chunk", "blocks"])
+                ends, found, rows, size = c.by_bucket(buckets), [], [], 0
+
+                def asked():
+                    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([chunk] * len(found), pa.int64()), pa.array(rows, pa.list_(pa.binary()))], ["bucket", "chunk", "blocks"])
+
+                for b in range(buckets):
+                    if not any(e[b + 1] > e[b] for e in ends):
+                        continue  # nothing is asked there
+                    found.append(b)
+                    own = []
+                    for g, n, e in zip(c.grams, c.counts, ends):
+                        x = g[e[b] : e[b + 1]]
+                        own += [_zip(np.diff(x, prepend=np.uint64(0))), _zip(n[e[b] : e[b + 1]])]
+                    rows.append(own)
+                    size += sum(map(len, own))
+                    if size >= BATCH_BYTES:
+                        yield asked()
+                        found, rows, size = [], [], 0
+                if found:
+                    yield asked()
+                del c
+                give_back()
 
     return run
 
@@ -189,17 +212,22 @@ def _answered(order: int):
 def _less_own(c: Chunk, o: int, total: np.ndarray) -> np.ndarray:
     """For each word that ends an n-gram of the order: the n-gram's count in all other documents."""
     place, doc = c.own[o], c.doc[c.place >= o]
-    out = total[place].astype(np.int64)
-    some = np.flatnonzero(out > 1)
-    key = doc[some].astype(np.int64) * max(1, len(total)) + place[some]
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    out[some] -= n[back]
-    out[total[place] <= 1] = 0
+    out = np.zeros(len(place), np.int64)
+    at = 0
+    while at < len(place):  # whole documents
+        end = int(np.searchsorted(doc, doc[min(at + OWN_WORDS, len(doc)) - 1], "right"))
+        own = place[at:end]
+        n = total[own].astype(np.int64)
+        some = np.flatnonzero(n > 1)  # the others are only here
+        key = doc[at:end][some].astype(np.int64) * max(1, len(total)) + own[some]
+        _, back, twice = np.unique(key, return_inverse=True, return_counts=True)
+        out[at + some] = n[some] - twice[back]
+        at = end
     return out
 
 
 def score_chunk(c: Chunk, totals: list[np.ndarray], words: int, backoff: float = BACKOFF, unseen: float = UNSEEN) -> np.ndarray:
-    """Sum of log scores of each document; ``totals``: corpus counts of ``c.grams``, ``words``: words of the corpus."""
+    """Sum of log scores of each document; ``totals``: corpus counts of the chunk's n-grams, ``words``: words of the corpus."""
     order, n, totals = len(totals), len(c.doc), list(totals)
     left = []
     for o in range(order):
@@ -207,9 +235,8 @@ def score_chunk(c: Chunk, totals: list[np.ndarray], words: int, backoff: float =
         full[c.place >= o] = _less_own(c, o, totals[o])
         left.append(full)
         c.own[o] = totals[o] = None  # used up
-    others = np.maximum(words - c.sizes, 1)[c.doc] if n else np.zeros(0)
     history = np.minimum(c.place, order - 1)
-    lp = history * math.log(backoff) + np.log(np.maximum(left[0], unseen)) - np.log(others)
+    lp = history * math.log(backoff) + np.log(np.maximum(left[0], unseen)) - np.log(np.maximum(words - c.sizes, 1))[c.doc]
     for o in range(1, order):
         before = np.concatenate([[0], left[o - 1][:-1]]) if n else left[o - 1]
         at = left[o] > 0
@@ -224,11 +251,15 @@ def _scored(order: int, buckets: int, words: int, backoff: float, unseen: float)
         held, answers = None, []
 
         def close():
+            nonlocal held
             ids, texts = _docs(held)
-            c = Chunk(texts, order, True)
+            held, c = None, Chunk(texts, order, True)
             del texts
+            give_back()
             totals = [np.concatenate([_unzip(a[o]) for a in answers]) if answers else np.zeros(0, np.uint64) for o in range(order)]
+            answers.clear()
             s = score_chunk(c, totals, words, backoff, unseen)
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c.sizes), pa.array(s), pa.array(s / np.maximum(c.sizes, 1))], ["doc_id", "n_words", "log_sum", "log_score"])
 
         for batch in batches:
@@ -256,12 +287,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, uns
     rows; other columns, whatever their names, are ignored.
     """
     spark = small_batches(docs).sparkSession
-    chunks = cut(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_chunks(chunk_bytes), "chunk long, words long, bytes long, docs binary"), "lm-chunks")
+    chunks = cut(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(tidied(_chunks(chunk_bytes)), "chunk long, words long, bytes long, docs binary"), "lm-chunks")
     words, size = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     wanted = math.ceil(size / bucket_bytes)
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), wanted if wanted < MANY_BUCKETS else math.ceil(math.sqrt(MANY_BUCKETS * wanted)))
-    asked = chunks.select("chunk", "docs").mapInArrow(_asked(order, buckets), "bucket int, chunk long, blocks array<binary>")
-    answered = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answered(order), "chunk long, bucket int, blocks array<binary>")
+    asked = chunks.select("chunk", "docs").mapInArrow(tidied(_asked(order, buckets)), "bucket int, chunk long, blocks array<binary>")
+    answered = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidied(_answered(order)), "chunk long, bucket int, blocks array<binary>")
     both = answered.select("chunk", "bucket", F.lit(None).cast("binary").alias("docs"), "blocks").union(chunks.select("chunk", F.lit(-1).alias("bucket"), "docs", F.lit(None).cast("array<binary>").alias("blocks")))
     met = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").select("bucket", "docs", "blocks")
-    return met.mapInArrow(_scored(order, buckets, words, backoff, unseen), "doc_id long, n_words long, log_sum double, log_score double")
+    return met.mapInArrow(tidied(_scored(order, buckets, words, backoff, unseen)), "doc_id long, n_words long, log_sum double, log_score double")

@@ -2,12 +2,13 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 
-from groundling.llm import decontaminate, html_text, near_text, neardup_vectors
+from groundling.llm import decontaminate, html_text, lm_score, near_text, neardup_vectors
 
 
 def texts(spark, rows):
@@ -154,3 +155,22 @@ def test_short_benchmark_items_match_exactly(spark):
     found = {(r["doc_id"], r["item_id"], r["distance"], r["budget"], dict(rows)[r["doc_id"]][r["start_char"] : r["end_char"]]) for r in decontaminate.find_leaks(docs, bench).collect()}
     assert found == {(1, 1, 0, 0, "BLUE \n whale"), (4, 2, 0, 0, "42"), (7, 1, 0, 0, "blue whale"), (7, 2, 0, 0, "42")}
     assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {2, 3, 5, 6}
+
+
+def test_lm_chunks_hold_little_and_score_alike_in_parts(monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts_ = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 900))) for _ in range(600)]
+    totals = [x.astype(np.uint64) for x in lm_score.Chunk(texts_, 3, False).counts]
+    tracemalloc.start()
+    try:
+        c = lm_score.Chunk(texts_, 3, True)
+        made = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        whole = lm_score.score_chunk(c, totals, 10**6)
+        scored = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made < 110 * len(c.doc) and scored < 150 * len(c.doc)  # bytes a word; 127 were made while both sides' tables were held
+    monkeypatch.setattr(lm_score, "OWN_WORDS", 700)
+    assert (lm_score.score_chunk(lm_score.Chunk(texts_, 3, True), totals, 10**6) == whole).all()

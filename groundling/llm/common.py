@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -80,15 +80,15 @@ class MemoTokenizer:
       after a line's end with that \\n before them, the first word with \\0.  A text with other white space is encoded whole.
     * ``space_dropped`` (word BPE): white space only separates; normalisation does not reach across it.
 
-    Letters followed by ASCII signs are two pre-tokens, remembered apart, which makes new words rarer.  New words are
+    Letters followed by ASCII signs are two pre-tokens, remembered apart (signs like a first word), which makes new words
+    rarer.  New words are
     encoded in one call; their ids are told apart by the lengths of the tokens' strings.  In the texts the strings of
     special tokens are ordinary text.  Ids are kept as little-endian unsigned 16-bit where the vocabulary allows.
     """
 
-    GROUP = 1 << 20
+    GROUP = 1 << 22
 
     def __init__(self, path: str, kind: str, entries: int = MEMO_ENTRIES):
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -103,15 +103,15 @@ class MemoTokenizer:
 
     def chunks(self, texts: list[str]) -> tuple[list[int], pa.ListArray]:
         """(places of the texts that can be split, their keys); the other texts are encoded whole."""
+        split = pa.array(texts, pa.large_string())
+        able = pc.invert(pc.match_substring_regex(split, _NOT_SPACED if self.spaced else _OTHER_SPACE))
+        at, split = np.flatnonzero(able.to_numpy(zero_copy_only=False)).tolist(), split.filter(able)
         if self.spaced:
-            at = [i for i, t in enumerate(texts) if not (not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t or _ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace())]
-            return at, pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in at], pa.large_string()), " ")
-        at = [i for i, t in enumerate(texts) if t.isascii() and not _SEPARATORS.search(t) or not _OTHER_SPACE.search(t)]
-        return at, pc.ascii_split_whitespace(pa.array([texts[i] for i in at], pa.large_string()))
+            first, none = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
+            return at, pc.split_pattern(pc.binary_join_element_wise(first, pc.replace_substring(_parted(split, b" \0"), "\n", " \n"), none), " ")
+        return at, pc.ascii_split_whitespace(_parted(split, b" "))
 
     def whole(self, t: str) -> bytes:
-        import numpy as np
-
         return np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def learn(self, new: list[str]) -> None:
@@ -134,8 +134,6 @@ class MemoTokenizer:
             memo[k] = memo[a] + memo[b]
 
     def _learn(self, words: list[str]) -> None:
-        import numpy as np
-
         if not words:
             return
         if self.spaced:  # a first word is learnt as after \n, one id more
@@ -171,8 +169,6 @@ class MemoTokenizer:
         return out + self._group(group) if group else out
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         if len(self.memo) > self.entries // 2:
             self.old, self.memo = self.memo, {}
         at, keys = self.chunks(texts)
@@ -190,28 +186,42 @@ class MemoTokenizer:
         self.learn(new)
         for i in gaps:
             ids[i] = memo[words[i]]
-        width = np.dtype(self.dtype).itemsize
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        flat, starts = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes
-        word = coded.indices.to_numpy()
-        n = sizes[word]
-        ends = np.cumsum(n)
-        place = np.repeat(starts[word] - (ends - n), n)
-        place += np.arange(len(place))
-        raw = flat[place].tobytes()
-        bounds = np.concatenate([[0], ends])[keys.offsets.to_numpy() - keys.offsets[0].as_py()] * width
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
+        raw, ends = joined.buffers()[2], np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)
+        raw = raw.to_pybytes() if raw is not None else b""
+        bounds = ends[keys.offsets.to_numpy() - keys.offsets[0].as_py()]
         out = dict(zip(at, [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]))
         return [out[i] if i in out else self.whole(t) for i, t in enumerate(texts)]
 
 
-#: White space to Python's split, but not to the tokenizer; and what marks keys.
-_SEPARATORS = re.compile("[\0\x1c-\x1f]")
-_OTHER_SPACE = re.compile("[^\\S\x20\x09-\x0d]|\0")
-_ODD_SPACE = re.compile(r"[^\S \n]")
+#: White space to the tokenizer, but not to the ASCII split, and what marks keys; for RE2.
+_OTHER_SPACE = "[\\x00\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_NOT_SPACED = "\\A\\z|\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|[\\t\\x0b-\\r]|" + _OTHER_SPACE
 _SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _WORD_SIGNS = regex.compile(r"([\n\0]?\p{L}+)([!-/:-@\[-`{-~]+)").fullmatch
 
 
+_LETTER, _SIGN = (np.isin(np.arange(256), list(x.encode())) for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "".join(_SIGNS)))
+
+
+def _parted(texts: pa.LargeStringArray, mark: bytes) -> pa.LargeStringArray:
+    """The texts with ``mark`` between an ASCII letter and an ASCII sign after it, where a pre-token always ends."""
+    if not len(texts):
+        return texts
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    at = np.flatnonzero(_LETTER[raw[:-1]] & _SIGN[raw[1:]]) + 1
+    at = at[ends[np.searchsorted(ends, at)] != at]  # between two texts
+    width = len(mark)
+    out, own = np.empty(len(raw) + width * len(at), np.uint8), np.ones(len(raw) + width * len(at), bool)
+    place = at + width * np.arange(len(at))
+    for k, x in enumerate(mark):
+        out[place + k], own[place + k] = x, False
+    out[own] = raw
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends + width * np.searchsorted(at, ends)), pa.py_buffer(out))
+
+
 def tokenizer(path: str, kind: str, entries: int = MEMO_ENTRIES) -> MemoTokenizer:
     """One per Python worker, with a memo of at most ``entries``."""
     import os

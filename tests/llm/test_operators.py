@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from groundling.llm import decontaminate, html_text, langid, line_dedup, lm_score, neardup_vectors, ngrams, packing, quality, simhash, token_file
-from groundling.llm.common import connected_components, tokenizer
+from groundling.llm.common import MemoTokenizer, connected_components, tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, label int, host string, chunk string, a long, b long, n long, row long, __row long, __lines string, __gone long, __f long, __fp string, _gone0 long, _row0 string, shard long, key string"
 LINE = "a line that very many of the documents hold, word for word"
@@ -57,6 +57,17 @@ def test_memo_gives_the_tokenizers_ids(path, kind):
         assert [np.frombuffer(x, memo.dtype).tolist() for x in memo.encode(texts)] == [ids(t) for t in texts]
 
 
+@pytest.mark.parametrize("path, kind", [("byte_bpe_50k.json", "space_prefix"), ("word_bpe_49k.json", "space_dropped")])
+def test_memo_knows_words_without_the_signs_after_them(path, kind):
+    tok, ids = MemoTokenizer(public_tokenizers.path(path), kind), plain(path)
+    texts = ["Word, word. word! (word) word's", "don't'll X's y'ALL a.b@c.d", "a", ".b", "\u0130. \u0130x. K. e\u0338.x \u226e \xe9. c\n(d)\n.e", ""]
+    rng = random.Random(2)
+    texts += [" ".join("".join(rng.choices("aZb's.,!(\xe9e\u0301\u03a3\u01300<\u0338=", k=rng.randrange(1, 7))) for _ in range(12)) for _ in range(500)]
+    assert [np.frombuffer(x, tok.dtype).tolist() for x in tok.encode(texts)] == [ids(t) for t in texts]
+    assert "word," not in tok.memo and "word" in tok.memo
+    assert not any(a.isascii() and a.isalpha() and b in "!'(.,<=" for k in tok.memo for a, b in zip(k, k[1:]))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {r["node"]: r["rep"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

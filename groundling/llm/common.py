@@ -80,8 +80,8 @@ class MemoTokenizer:
       after a line's end with that \\n before them, the first word with \\0.  A text with other white space is encoded whole.
     * ``space_dropped`` (word BPE): white space only separates; normalisation does not reach across it.
 
-    Letters followed by ASCII signs are two pre-tokens, remembered apart (signs like a first word), which makes new words
-    rarer.  New words are
+    Letters followed by ASCII signs are two pre-tokens, remembered apart (signs like a first word), and the word BPE, which
+    lowers letters, gets A-Z lowered before the split; both make new words rarer.  New words are
     encoded in one call; their ids are told apart by the lengths of the tokens' strings.  In the texts the strings of
     special tokens are ordinary text.  Ids are kept as little-endian unsigned 16-bit where the vocabulary allows.
     """
@@ -109,7 +109,7 @@ class MemoTokenizer:
         if self.spaced:
             first, none = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
             return at, pc.split_pattern(pc.binary_join_element_wise(first, pc.replace_substring(_parted(split, b" \0"), "\n", " \n"), none), " ")
-        return at, pc.ascii_split_whitespace(_parted(split, b" "))
+        return at, pc.ascii_split_whitespace(pc.ascii_lower(_parted(split, b" ")))
 
     def whole(self, t: str) -> bytes:
         return np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes()

@@ -1,8 +1,11 @@
 """Near-duplicate texts: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-Copies, case and white space apart, collapse to one text first.  Candidates share one of ``BANDS`` bands of ``ROWS``
-min-hashes, which a pair at the threshold misses with a chance of 5 in 100,000.  Every link is verified on the shingle
-sets themselves.  Of a bucket each text is compared with the least one first; where a bucket is still in several
+Copies, case and white space apart, collapse to one text first.  Each has a SimHash of its shingles; those within
+``BITS`` bits are found by the inverted index of byte positions with count filtering of ``simhash`` and are candidates.
+At the threshold fingerprints differ in about 10 of 64 bits, beyond what shared bytes can tell from chance, and of a posting
+only a spanning forest comes out, so the rest has a way of its own: candidates as well are texts that share one of ``BANDS``
+bands of ``ROWS`` min-hashes, which a pair at the threshold misses with a chance of 5 in 100,000.  Every link is verified on
+the shingle sets themselves.  Of a bucket each text is compared with the least one first; where a bucket is still in several
 components, all its pairs across components follow, so no bucket is cut.  These are not emitted: the bucket's members go
 out in tiles of two blocks of bounded size, a row per member and block, are compared there in the first bucket that they
 share, and what comes back are links between components.
@@ -18,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .common import connected_components, cut, small_batches, texts_of, tidied
-from .simhash import BROADCAST_ROWS, drop_rows
+from .simhash import BROADCAST_ROWS, drop_rows, fingerprint_links
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 25, 5, 42
+#: Bits of 64 in which the fingerprints of candidates differ at most.
+BITS = 3
 #: Members of a block, and their shingles, on average at most.
 BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 20
 _CHUNK = 1024
@@ -43,6 +48,15 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(n)), np.uint64, n))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles by their hashes, signed: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 64 * _CHUNK):
+        h = hashes[at : at + 64 * _CHUNK].astype("<u8")
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 _RNG = np.random.default_rng(SEED)
 _XOR, _MIX, _ROW = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, ROWS))
 
@@ -67,14 +81,15 @@ def _slices(batches, rows: int = 256):
 
 def _signed(batches):
     for batch in _slices(batches):
-        keys, sizes, values = [], [], []
+        keys, sizes, fps, values = [], [], [], []
         for t in texts_of(batch):
             h = shingles(t)
             keys.append(key_of(t))
             sizes.append(len(h))
+            fps.append(fingerprint(h))
             values.append(bands(h))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(values)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "key", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), lists], ["doc_id", "key", "n", "fp", "bands"])
 
 
 def _keyed(batches):
@@ -180,6 +195,20 @@ def _components_met(docs: DataFrame, reps: DataFrame, named: DataFrame, similari
     return cut(rows.mapInArrow(tidied(_across(similarity)), "a long, b long").distinct(), "met")
 
 
+def _sized(x: str, y: str, similarity: float):
+    """Sets of these sizes can be as alike as that."""
+    return F.least(x, y) >= similarity * F.greatest(x, y)
+
+
+def fingerprint_pairs(reps: DataFrame, similarity: float = SIMILARITY, max_bits: int = BITS) -> DataFrame:
+    """Candidates (a, b) among ``reps(id, n, fp)``, a < b: each text and the first of its fingerprint, and the firsts of linked fingerprints."""
+    firsts = cut(reps.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("c")).select("fp", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "firsts")
+    same = reps.select("id", "n", "fp").join(firsts, "fp").where(F.col("id") != F.col("c")).select("c", "cn", "id", "n")
+    x, y = firsts.toDF("a", "x", "xn"), firsts.toDF("b", "y", "yn")
+    linked = fingerprint_links(firsts.select("fp"), max_bits).distinct().join(x, "a").join(y, "b").select("x", "xn", "y", "yn")
+    return same.union(linked).toDF("x", "xn", "y", "yn").where(_sized("xn", "yn", similarity)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (of its words), component_id, the least doc_id reachable.
 
@@ -187,15 +216,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, broadcast_rows:
     counts in no minimum (a component of such rows only has a null component_id).
     """
     small_batches(docs)
-    rows = cut(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(tidied(_signed), "doc_id long, key binary, n int, bands array<long>"), "signatures")
-    reps = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = cut(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(tidied(_signed), "doc_id long, key binary, n int, fp long, bands array<long>"), "signatures")
+    reps = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     reps = cut(reps.select(F.monotonically_increasing_id().alias("id"), "*"), "texts")
     bucket = Window.partitionBy("value")
     posts = reps.select("id", "n", F.explode("bands").alias("value"))
     posts = posts.withColumn("first", F.min(F.struct("id", "n")).over(bucket)).withColumn("held", F.count(F.lit(1)).over(bucket)).where("held > 1")
     posts = cut(posts.select("value", "id", "n", F.col("first.id").alias("c"), F.col("first.n").alias("cn")), "buckets")
-    size = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    links = _verified(docs, reps, posts.where(F.col("id") != F.col("c")).where(size("n", "cn")).select(F.col("c").alias("a"), F.col("id").alias("b")), similarity, broadcast_rows)
+    stars = posts.where(F.col("id") != F.col("c")).where(_sized("n", "cn", similarity)).select(F.col("c").alias("a"), F.col("id").alias("b"))
+    links = _verified(docs, reps, stars.union(fingerprint_pairs(reps, similarity)), similarity, broadcast_rows)
     groups = cut(connected_components(links), "groups")
 
     named = cut(posts.join(groups.select(F.col("node").alias("id"), "rep"), "id", "left").select("value", "id", "n", F.coalesce("rep", "id").alias("rep")), "named")

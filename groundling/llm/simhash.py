@@ -184,15 +184,20 @@ def _linked(max_bits: int, heavy: int | None):
     return run
 
 
-def fingerprint_components(fps: DataFrame, max_bits: int = 2, heavy: int = HEAVY) -> DataFrame:
-    """(fp, component_id) for each distinct ``fp`` of ``fps(doc_id, fp)``; component_id is the least doc_id reachable."""
-    least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def fingerprint_links(fps: DataFrame, max_bits: int = 2, heavy: int = HEAVY) -> DataFrame:
+    """(a, b): for each posting of the distinct ``fps(fp)`` a spanning forest of its pairs within ``max_bits`` bits."""
     groups = position_groups(max_bits)
-    met = cut(_postings(least, _masks(max_bits, len(groups) - max_bits, groups)).mapInArrow(_linked(max_bits, heavy), "a long, b long"), "postings")
+    met = cut(_postings(fps, _masks(max_bits, len(groups) - max_bits, groups)).mapInArrow(_linked(max_bits, heavy), "a long, b long"), "postings")
     links, crowded = met.where("b is not null"), cut(met.where("b is null").select(F.col("a").alias("fp")).distinct(), "crowded")
     if not crowded.isEmpty():
         links = links.union(_postings(crowded, _masks(max_bits, 8 - max_bits, [(p,) for p in range(8)])).mapInArrow(_linked(max_bits, None), "a long, b long"))
-    groups = connected_components(links)
+    return links
+
+
+def fingerprint_components(fps: DataFrame, max_bits: int = 2, heavy: int = HEAVY) -> DataFrame:
+    """(fp, component_id) for each distinct ``fp`` of ``fps(doc_id, fp)``; component_id is the least doc_id reachable."""
+    least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    groups = connected_components(fingerprint_links(least, max_bits, heavy))
     named = least.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("rep", "fp").alias("rep"))
     named = cut(named, "named")
     ids = named.groupBy("rep").agg(F.min("least").alias("component_id"))

@@ -174,3 +174,33 @@ def test_lm_chunks_hold_little_and_score_alike_in_parts(monkeypatch):
     assert made < 110 * len(c.doc) and scored < 150 * len(c.doc)  # bytes a word; 127 were made while both sides' tables were held
     monkeypatch.setattr(lm_score, "OWN_WORDS", 700)
     assert (lm_score.score_chunk(lm_score.Chunk(texts_, 3, True), totals, 10**6) == whole).all()
+
+
+def test_pipeline_finds_near_fingerprints(spark):
+    """SimHash over five-word shingles: the stage's candidates against brute force."""
+    rng = random.Random(11)
+    rows, near = [], [rng.getrandbits(64) for _ in range(20)]
+    for k, f in enumerate(near):
+        for _ in range(12):
+            flips = sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))
+            rows.append((len(rows), 100 if k % 5 else rng.choice([100, 50]), (f ^ flips) - (1 << 64 if (f ^ flips) >> 63 else 0)))
+    got = {(r["a"], r["b"]) for r in near_text.fingerprint_pairs(spark.createDataFrame(rows, "id long, n int, fp long").repartition(3)).collect()}
+    bits = lambda i, j: ((rows[i][2] ^ rows[j][2]) & (1 << 64) - 1).bit_count()
+    assert all(a < b and bits(a, b) <= 3 and rows[a][1] == rows[b][1] for a, b in got)
+
+    def groups(pairs):
+        of = {i: {i} for i, n, _ in rows}
+        for a, b in pairs:
+            if of[a] is not of[b]:
+                of[a] |= of[b]
+                for i in of[b]:
+                    of[i] = of[a]
+        return {frozenset(x) for x in of.values()}
+
+    alike = [k for k in range(20) if k % 5]  # one size: nothing that links goes by size
+    own = lambda pairs: {g for g in groups(pairs) if min(g) // 12 in alike}
+    assert own(got) == own({(i, j) for i in range(len(rows)) for j in range(i) if bits(i, j) <= 3})
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(300))
+    hashes = [int(h) for h in near_text.shingles(text)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert near_text.fingerprint(near_text.shingles(text)) % (1 << 64) == want

@@ -26,6 +26,6 @@ def strip_html_sql(column: str) -> str:
 
 def register(spark: SparkSession) -> None:
     """``norm_text``, ``html_to_markdown`` and ``join_url`` as Arrow functions, ``strip_html`` as a temporary SQL function."""
-    for name in ("norm_text", "html_to_markdown", "join_url"):
-        spark.udf.register(name, getattr(X, name))
+    for name, f in (("norm_text", X.norm_text_arrow), ("html_to_markdown", X.html_to_markdown), ("join_url", X.join_url)):
+        spark.udf.register(name, f)
     spark.sql(f"create or replace temporary function strip_html(t string) returns string return {strip_html_sql('t')}")

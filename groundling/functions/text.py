@@ -1,4 +1,4 @@
-"""Scalar functions as Column expressions; Arrow UDFs only where Spark has no built-in (Unicode folding, code points)."""
+"""Scalar functions as Column expressions; Arrow UDFs only where Spark has no built-in."""
 
 from __future__ import annotations
 
@@ -139,9 +139,35 @@ def fold(s: str | None) -> str:
     return (s if s.isascii() else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()).lower()
 
 
+@functools.cache
+def _folded() -> tuple[str, str, str, str]:
+    """What folding makes of characters beyond ASCII: those of one ASCII character, these; those of more, as a map for ``str_to_map``, and as a class."""
+    one, more = {}, {}
+    for x in range(0x80, 0x110000):
+        if not 0xD800 <= x < 0xE000 and (t := fold(chr(x))):
+            (one if len(t) == 1 else more)[chr(x)] = t
+    runs: list[list[int]] = []
+    for x in map(ord, more):
+        if runs and runs[-1][1] == x - 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "".join(one), "".join(one.values()), "\2".join(f"{k}\1{t}" for k, t in more.items()), "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+
+
+def norm_text(c: Column | str) -> Column:
+    """``fold`` as an expression: no character's folding depends on those beside it, so a table of characters does it; null gives an empty text."""
+    c = F.col(c) if isinstance(c, str) else c
+    one, to, more, several = _folded()
+    parts = F.regexp_extract_all(c, F.lit(f"[^{several}]+|[{several}]"), F.lit(0))
+    spelled = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(F.str_to_map(F.lit(more), F.lit("\2"), F.lit("\1")), p), p)), "")
+    other = F.regexp_replace(F.translate(F.when(F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(f"[{several}]"), spelled).otherwise(c), one, to), r"[^\x00-\x7F]+", "")
+    return F.when(c.isNull(), "").when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.lower(other))
+
+
 @F.pandas_udf(StringType())
-def norm_text(s: pd.Series) -> pd.Series:
-    """``fold`` by Arrow batches: Spark has no Unicode normalisation of its own."""
+def norm_text_arrow(s: pd.Series) -> pd.Series:
+    """``fold`` by Arrow batches, for SQL users, who call it by name."""
     return s.map(fold, na_action=None)
 
 

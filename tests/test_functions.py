@@ -96,6 +96,14 @@ def test_fold_and_lines_like_python(spark):
         assert r["l"] == r["c"].splitlines()
 
 
+def test_fold_of_every_character_without_python(spark):
+    marks = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    values = marks + ["".join(marks[k : k + 64]) for k in range(0, len(marks), 64)] + ["ab…½ﬁ𝐀é\u0301 ㎏™x", ""]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "c string").select("c", X.norm_text("c").alias("n"))
+    assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["c"] for r in df.collect() if r["n"] != X.fold(r["c"])] == []
+
+
 def test_truncation(spark):
     (t,) = one(spark, lambda c: X.head_tail(c, 100), "x" * 1000)
     assert t.startswith("x" * 55 + "\n") and "905 chars elided" in t and t.endswith("]\n\n" + "x" * 40)

@@ -32,3 +32,8 @@ def test_query_matches_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["worst_sections"])
+def test_query_needs_no_python_worker(spark, name):
+    assert "Python" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

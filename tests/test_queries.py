@@ -34,6 +34,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["worst_sections", "guard_triggers"])
+@pytest.mark.parametrize("name", ["worst_sections", "guard_triggers", "verify_passages"])
 def test_query_needs_no_python_worker(spark, name):
     assert "Python" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -297,21 +297,29 @@ def head_tail(c: Column, budget: int) -> Column:
     return F.when(F.length(c) <= budget, c).otherwise(cut)
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is found once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def paper_truncate(c: Column, budget: int) -> Column:
     """Head, tail, and a middle around the first known keyword (by the list's order) between them, else the midpoint."""
     h, t = int(budget * 0.40), int(budget * 0.30)
-    mid, n = budget - h - t - 300, F.length(c)
-    places = [F.locate(k, c, h + 1) - 1 for k in T.PAPER_KEYWORDS]
-    at = F.coalesce(*[F.when((p >= 0) & (p < n - t), p) for p in places], F.floor(n / 2).cast("int"))
-    start = F.greatest(F.lit(h), at - mid // 2)
-    end = F.least(n - t, start + mid)
-    middle = F.when(end > start, F.substring(c, start + 1, end - start)).otherwise("")
+    mid = budget - h - t - 300
+    places = F.array(*[F.when(c.contains(k), F.locate(k, c, h + 1) - 1) for k in T.PAPER_KEYWORDS])  # most texts have none of a keyword
     shown = lambda x: F.format_number(x, 0)
-    cut = F.concat(
-        F.substring(c, 1, h), F.lit("\n\n[... elided "), shown(start - h), F.lit(" chars; full source on disk ...]\n\n"), middle,
-        F.lit("\n\n[... elided "), shown(n - t - end), F.lit(" chars ...]\n\n"), F.right(c, F.lit(t)),
-    )
-    return F.when(n <= budget, c).otherwise(cut)
+
+    def cut(n, start, end):
+        return F.concat(
+            F.substring(c, 1, h), F.lit("\n\n[... elided "), shown(start - h), F.lit(" chars; full source on disk ...]\n\n"), F.when(end > start, F.substring(c, start + 1, end - start)).otherwise(""),
+            F.lit("\n\n[... elided "), shown(n - t - end), F.lit(" chars ...]\n\n"), F.right(c, F.lit(t)),
+        )
+
+    def around(n):
+        at = F.coalesce(F.get(F.filter(places, lambda p: (p >= 0) & (p < n - t)), F.lit(0)), F.floor(n / 2).cast("int"))
+        return bound(F.greatest(F.lit(h), at - mid // 2), lambda start: bound(F.least(n - t, start + mid), lambda end: cut(n, start, end)))
+
+    return F.when(F.length(c) <= budget, c).otherwise(bound(F.length(c), around))
 
 
 def pack_sections(c: Column, budget: int) -> Column:

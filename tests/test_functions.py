@@ -104,6 +104,16 @@ def test_fold_of_every_character_without_python(spark):
     assert [r["c"] for r in df.collect() if r["n"] != X.fold(r["c"])] == []
 
 
+def test_paper_truncation_looks_for_each_keyword_once(spark):
+    df = spark.range(1).selectExpr("cast(id as string) as c")
+    plan = df.select(X.paper_truncate(F.col("c"), 2000).alias("cut"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("locate(") == len(X.T.PAPER_KEYWORDS)
+    text = "h" * 900 + " Algorithm " + "m" * 900 + " Method " + "t" * 900  # the list's first keyword counts, not the text's
+    (got,) = one(spark, lambda c: X.paper_truncate(c, 2000), text)
+    at = text.index("Method") - 150
+    assert got == text[:800] + f"\n\n[... elided {at - 800} chars; full source on disk ...]\n\n" + text[at : at + 300] + f"\n\n[... elided {len(text) - 600 - at - 300} chars ...]\n\n" + text[-600:]
+
+
 def test_truncation(spark):
     (t,) = one(spark, lambda c: X.head_tail(c, 100), "x" * 1000)
     assert t.startswith("x" * 55 + "\n") and "905 chars elided" in t and t.endswith("]\n\n" + "x" * 40)

@@ -222,3 +222,18 @@ def test_streaming(spark, tmp_path):
     q = each_batch(routed_stream(spark, str(src)), lambda df, k: seen.extend(r["kind"] for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(seen) == ["arxiv", "github_repo"]
+
+
+def test_signatures_without_shuffle(spark):
+    rows = [(k, f"a/{k}.{x}", c) for k, (x, c) in enumerate([("py", "def f():\n  1"), ("ts", "export a"), ("rb", "class A")])]
+    plan = E.signatures(spark.createDataFrame(rows, "source_id long, rel string, content string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Sort", "Aggregate ", "Join")) and plan.count("Generate") == 1
+    odd = {
+        "a.py": ("def f():\n'''one\ntwo'''\ndef g(\n", "def f():\n'''one\ntwo'''\n\ndef g(\n"),
+        "b.py": ('@a\ndef f():\n"""\ndef inside():\n', '@a\ndef f():\n"""\ndef inside():\n'),
+        "c.py": ('class A:\n  """x"""\n  def g(self): pass\nx', 'class A:\n  """x"""\n\n  def g(self): pass\nx\n'),
+        "d.ts": ("export a {\n}}\nexport b }\nexport {\nx", "export a {\n}}\nexport b }\nexport {\nx\n"),
+        "e.ts": ("export a {\n" * 400 + "export z", "export a {\n" * 5 + "    // ... body elided (long) ...\n"),
+    }
+    got = E.signatures(spark.createDataFrame([(1, k, c) for k, (c, _) in odd.items()], "source_id long, rel string, content string")).collect()
+    assert {r["rel"]: r["content"] for r in got} == {k: w for k, (_, w) in odd.items()}

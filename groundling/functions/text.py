@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import posixpath
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import tables as T
+from .batches import give_back
 
 
 def lit(s: str) -> Column:
@@ -205,14 +207,16 @@ def strip_html(c: Column, numeric: bool = True) -> Column:
 
 
 @F.pandas_udf(StringType())
-def html_to_markdown(s: pd.Series) -> pd.Series:
+def html_to_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Markdown of a page without scripts, navigation and marked side matter: headings, lists, links, code and paragraphs.
 
     A deterministic form of our own; what third-party converters print cannot be reproduced.
     """
     from .markdown import convert
 
-    return s.map(lambda t: convert(t or ""), na_action=None)
+    for s in batches:
+        yield s.map(lambda t: convert(t or ""), na_action=None)
+    give_back()
 
 
 def extraction_sparse(c: Column, threshold: int = 1500) -> Column:

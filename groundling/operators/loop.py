@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.batches import give_back, small_batches
 from ..options import Options
 from . import claims as C
 from . import verify as V
@@ -49,8 +50,9 @@ def generate(prompts: DataFrame, generator: Generator) -> DataFrame:
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"source_id": pdf["source_id"], "answer": [generator(s, p) or "" for s, p in zip(pdf["system"], pdf["prompt"])]})
+        give_back()
 
-    answers = prompts.select("source_id", "system", "prompt").mapInPandas(run, "source_id long, answer string")
+    answers = small_batches(prompts).select("source_id", "system", "prompt").mapInPandas(run, "source_id long, answer string")
     return answers.select("source_id", X.clean_output(F.col("answer")).alias("skill_text"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import text as X
+from ..functions.batches import small_batches
 from ..functions.lineage import cut
 from ..operators import bundle as B
 from ..operators import claims as C
@@ -300,7 +301,7 @@ def html_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", X.html_to_markdown("html").alias("markdown"))
+    return small_batches(table(spark, sf_dir, "pages")).select("page_id", X.html_to_markdown("html").alias("markdown"))
 
 
 @query(f"select doc_id, {FOLD('text')} as norm, md5(text)[:6] as hash from documents")

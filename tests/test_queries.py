@@ -37,3 +37,19 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["worst_sections", "guard_triggers", "verify_passages"])
 def test_query_needs_no_python_worker(spark, name):
     assert "Python" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_reach_python_in_small_batches(spark, tmp_path):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    pages = spark.range(0, 400, 1, 1).selectExpr("id as page_id", "'u' as url", "'<p>' || repeat('word ', 10000) || '</p>' as html")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    texts = catalog.QUERIES["html_markdown"](spark, str(tmp_path))
+    assert {len(r["markdown"]) for r in texts.collect()} == {49999}
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int", F.PandasUDFType.SCALAR)
+    most = spark.read.parquet(f"{tmp_path}/pages.parquet").select(size("html").alias("n")).agg(F.max("n")).first()[0]
+    spark.conf.unset(key)
+    assert most * 50_000 <= 8 << 20

@@ -67,6 +67,18 @@ def sizeof(c: Column) -> Column:
     return F.when(c.isNotNull(), out)
 
 
+def tenths(c: Column) -> Column:
+    """A share such as a percentage with one decimal, rounded by its exact binary value, halves to even; ``format_string`` takes halves up.
+
+    The upper bits and the rest are compared with the half apart, so that no step rounds.
+    """
+    x = F.abs(c.cast("double"))
+    high, k = F.floor(x * 2**20) / 2**20, F.floor(x * 10)
+    beyond = (high * 10 - (k + F.lit(0.5))) + (x - high) * 10
+    n = k + F.when((beyond > 0) | ((beyond == 0) & (k % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def normalize_url(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(c, "#.*$", ""), "/+$", ""))
 

@@ -23,7 +23,7 @@ def annotate(lines: DataFrame, checks: DataFrame, *keys: str, values: int = 4) -
 
 def flagged_names(sections: Column, most: int = 5) -> Column:
     """Names with their share of an array of (section, pct_verified), worst first as given; or that none was flagged."""
-    shown = F.transform(F.slice(sections, 1, most), lambda s: F.concat(F.lit("_"), s["section"], F.lit("_ ("), F.format_string("%.1f", s["pct_verified"]), F.lit("%)")))
+    shown = F.transform(F.slice(sections, 1, most), lambda s: F.concat(F.lit("_"), s["section"], F.lit("_ ("), X.tenths(s["pct_verified"]), F.lit("%)")))
     n = F.size(sections)
     more = F.when(n > most, F.concat(F.lit(", +"), (n - most).cast("string"), F.lit(" more"))).otherwise("")
     return F.when(n > 0, F.concat(F.array_join(shown, ", "), more)).otherwise("(precautionary — no specific sections flagged)")
@@ -82,7 +82,7 @@ def console_summary(records: DataFrame) -> DataFrame:
     head = records.agg(F.concat(F.lit("DONE: "), count("ok"), F.lit(" ok, "), count("raw_only"), F.lit(" raw-only, "), count("error"), F.lit(" errored")).alias("line"))
     mark = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv]), status), F.lit("?"))
     kind = F.coalesce("kind", F.lit("?"))
-    share = F.when(F.col("pct_verified") >= 0, F.concat(F.lit("  ("), F.round("pct_verified", 1).cast("string"), F.lit("% verified)"))).otherwise("")
+    share = F.when(F.col("pct_verified") >= 0, F.concat(F.lit("  ("), X.tenths(F.col("pct_verified")), F.lit("% verified)"))).otherwise("")
     failed = F.when(status == "error", F.concat(F.lit("  — "), F.substring(F.coalesce("error", F.lit("")), 1, 60))).otherwise("")
     line = F.concat(F.lit("  "), mark, F.lit(" ["), F.rpad(kind, F.greatest(F.lit(14), F.length(kind)), F.lit(" ")), F.lit("] "), F.coalesce("raw", F.lit("?")), F.coalesce(share, F.lit("")), failed)
     return head.select(F.lit(0).cast("long").alias("place"), "line").unionByName(records.select(F.col("place").cast("long").alias("place"), line.alias("line")))
@@ -90,7 +90,7 @@ def console_summary(records: DataFrame) -> DataFrame:
 
 def verification_report(summaries: DataFrame, checks: DataFrame, *keys: str) -> DataFrame:
     """(keys.., report): summary, sections with claims, and every flagged line with its claims."""
-    pct = lambda c: F.concat(F.format_string("%.1f", c), F.lit("%"))
+    pct = lambda c: F.concat(X.tenths(c), F.lit("%"))
     cell = lambda *xs: F.concat(F.lit("| "), F.concat_ws(" | ", *xs), F.lit(" |"))
     rows = F.transform(
         F.filter("per_section", lambda s: s["claims_total"] > 0),
@@ -115,7 +115,7 @@ def verification_report(summaries: DataFrame, checks: DataFrame, *keys: str) ->
 
 def result_records(results: DataFrame) -> DataFrame:
     """``results`` as JSON lines: (json), percentages with one decimal; what is null is left out."""
-    cols = [F.round("pct_verified", 1).alias("pct_verified") if c == "pct_verified" else F.col(c) for c in results.columns]
+    cols = [X.tenths(F.col("pct_verified")).cast("double").alias("pct_verified") if c == "pct_verified" else F.col(c) for c in results.columns]
     return results.select(F.to_json(F.struct(*cols)).alias("json"))
 
 

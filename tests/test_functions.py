@@ -104,6 +104,12 @@ def test_fold_of_every_character_without_python(spark):
     assert [r["c"] for r in df.collect() if r["n"] != X.fold(r["c"])] == []
 
 
+def test_shares_round_like_python(spark):
+    values = sorted({(1.0 - u / t) * 100 for t in range(1, 130) for u in range(t + 1)} | {k / 20 for k in range(2001)} | {k / 2000 for k in range(2000)} | {-1.0, 8.35})
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", X.tenths(F.col("x")).alias("s"))
+    assert [(r["x"], r["s"]) for r in df.collect() if r["s"] != f"{r['x']:.1f}"] == []
+
+
 def test_paper_truncation_looks_for_each_keyword_once(spark):
     df = spark.range(1).selectExpr("cast(id as string) as c")
     plan = df.select(X.paper_truncate(F.col("c"), 2000).alias("cut"))._jdf.queryExecution().optimizedPlan().toString()

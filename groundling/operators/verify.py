@@ -44,16 +44,18 @@ def fold_sources(bundles: DataFrame) -> DataFrame:
 def verify_claims(claims: DataFrame, folded: DataFrame, *keys: str) -> DataFrame:
     """``claims`` with ``verified``. ``keys`` hold source_id.
 
-    Each source meets the array of its distinct claims in one row, so a source's text is neither copied to its claims
-    nor joined with those of others; the flags then go back to the claims by an equi-join.  A source that is missing
+    Each source meets its claims in one row, each distinct value once with the claims that make it, so a source's text is
+    neither copied to its claims nor joined with those of others, and claims are shuffled once.  A source that is missing
     holds nothing.
     """
     kind = F.when(F.col("ctype").isin("number", "url"), F.col("ctype")).otherwise("words").alias("kind")
-    asked = claims.select("source_id", "norm_value", kind).groupBy("source_id").agg(F.collect_set(F.struct("norm_value", "kind")).alias("asked"))
+    rest = [c for c in claims.columns if c not in ("source_id", "norm_value")]
+    rows = claims.select("source_id", "norm_value", kind, F.struct(*rest).alias("c")).repartition("source_id")
+    asked = rows.groupBy("source_id", "norm_value", "kind").agg(F.collect_list("c").alias("cs")).groupBy("source_id").agg(F.collect_list(F.struct("norm_value", "kind", "cs")).alias("asked"))
     met = asked.join(folded, "source_id", "left").withColumn("norm_src", F.coalesce("norm_src", F.lit("")))
-    told = F.transform("asked", lambda a: F.struct(a["norm_value"].alias("norm_value"), a["kind"].alias("kind"), in_source(a["norm_value"], a["kind"], F.col("norm_src")).alias("verified")))
-    flags = met.select("source_id", F.explode(told).alias("t")).select("source_id", "t.*")
-    return claims.withColumn("kind", kind).join(flags, ["source_id", "norm_value", "kind"]).drop("kind")
+    told = F.transform("asked", lambda a: F.struct(a["norm_value"].alias("norm_value"), a["cs"].alias("cs"), in_source(a["norm_value"], a["kind"], F.col("norm_src")).alias("verified")))
+    flags = met.select("source_id", F.inline(told)).select("source_id", "norm_value", F.explode("cs").alias("c"), "verified")
+    return flags.select("source_id", "norm_value", "c.*", "verified").select(*claims.columns, "verified")
 
 
 def line_checks(lines: DataFrame, verified: DataFrame, *keys: str) -> DataFrame:

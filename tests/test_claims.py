@@ -237,3 +237,15 @@ def test_signatures_without_shuffle(spark):
     }
     got = E.signatures(spark.createDataFrame([(1, k, c) for k, (c, _) in odd.items()], "source_id long, rel string, content string")).collect()
     assert {r["rel"]: r["content"] for r in got} == {k: w for k, (_, w) in odd.items()}
+
+
+def test_claims_without_shuffle(spark):
+    skills = spark.createDataFrame([(1, DOC), (2, "## \nx `ab` and 'AB c' and \"ab C\"\n---\n## Two ##"), (3, "---\n## In\nname: x"), (4, "\n")], "source_id long, skill_text string")
+    lines = C.skill_lines(skills, "source_id")
+    claims = C.claims(lines, "source_id")
+    plan = claims._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Sort", "Aggregate ", "Join")) and plan.count("Generate") == 2
+    got = {k: [(r["line_no"], r["line"], r["section"], r["in_yaml"], r["is_skipped"]) for r in lines.where(f"source_id = {k}").orderBy("line_no").collect()] for k in (2, 3, 4)}
+    assert got[2] == [(1, "##", "(top)", False, False), (2, "x `ab` and 'AB c' and \"ab C\"", "(top)", False, False), (3, "---", "(top)", False, False), (4, "## Two ##", "Two ##", False, False)]
+    assert got[3] == [(1, "---", "(top)", False, True), (2, "## In", "In", True, False), (3, "name: x", "In", True, True)] and got[4] == [(1, "", "(top)", False, False)]
+    assert [tuple(r)[1:] for r in claims.where("source_id = 2 and line_no = 2").orderBy("claim_seq").collect()] == [(2, 1, "ab", "code", "ab"), (2, 2, "ab C", "quoted", "ab c")]

@@ -24,6 +24,7 @@ def test_claim_types(spark):
     assert got == [("code", "settlePayment()"), ("url", "https://x.org/api"), ("path", "x.org/api."), ("number", "12ms"), ("identifier", "settlePayment"), ("identifier", "x.org")]
     assert claims_of(spark, "Accuracy is 99.8.") == []
     assert claims_of(spark, "Over 3,000 runs") == [("number", "000")]
+    assert claims_of(spark, "call (624) 555-2408") == [("number", "624"), ("number", "555"), ("number", "2408")]
     assert claims_of(spark, "# Uses REST and fooBar 17") == [("number", "17")]
     assert claims_of(spark, "uses REST, `true` and FLOPS or FLOPs") == [("identifier", "REST"), ("identifier", "FLOPS")]
     assert claims_of(spark, "") == []
